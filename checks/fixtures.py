@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmine.operators.skew import over_all_cores
+
 TOPICS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return over_all_cores(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:

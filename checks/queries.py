@@ -116,8 +116,8 @@ def staged_posts_by_year(spark, sf_dir):
 @query
 def stop_word_file_scan(spark, sf_dir):
     path = fresh_path(spark, "words")
-    words = fx.table(spark, sf_dir, "benchmark").select(F.explode(text.tokenize("text", 1)))
-    words.select(F.concat("col", F.lit(" \r")).alias("value")).write.text(path)
+    words = text.word_rows(fx.table(spark, sf_dir, "benchmark"), text.tokenize("text", 1))
+    words.select(F.concat("term", F.lit(" \r")).alias("value")).write.text(path)
     return read_stop_words(spark, path)
 
 
@@ -231,10 +231,10 @@ def tokens_without_stop_words(spark, sf_dir):
 
 @query
 def words_outside_benchmark(spark, sf_dir):
-    words = fx.table(spark, sf_dir, "documents").select(
-        "doc_id", F.explode(text.tokenize("text")).alias("term")
+    words = text.word_rows(
+        fx.table(spark, sf_dir, "documents"), text.tokenize("text"), "doc_id"
     )
-    listed = fx.table(spark, sf_dir, "benchmark").select(F.explode(text.tokenize("text")))
+    listed = text.word_rows(fx.table(spark, sf_dir, "benchmark"), text.tokenize("text"))
     kept = text.remove_words_by_join(words, listed)
     return kept.groupBy("doc_id").agg(F.count("term").alias("words"))
 
@@ -359,7 +359,7 @@ def vocabulary_size(spark, sf_dir):
 
 @query
 def count_vectors(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = _at_rest(spark, _documents(spark, sf_dir), fresh_path(spark, "corpus"))
     vectorizer = topics.fit_vectorizer(docs, MIN_DOCUMENTS)
     vectors = topics.vectorize(vectorizer, docs)
     numbered = F.transform(
@@ -496,8 +496,9 @@ for _metric in metrics.WIDE_NAMES:
 
 def _described(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Topics as languages: term shares in the form a model describes its topics in."""
-    docs = fx.table(spark, sf_dir, "documents").select("lang", text.tokenize("text").alias("t"))
-    counted = docs.select("lang", F.explode("t").alias("term")).groupBy("lang", "term").count()
+    docs = fx.table(spark, sf_dir, "documents")
+    words = text.word_rows(docs, text.tokenize("text"), "lang")
+    counted = words.groupBy("lang", "term").count()
     listed = counted.select("term").distinct().select(
         F.xxhash64("term").alias("termIndex"), "term"
     )
@@ -559,8 +560,13 @@ def vertical_report(spark, sf_dir):
 # --- models ------------------------------------------------------------------------------
 
 
+def _at_rest(spark, corpus: DataFrame, path: str) -> DataFrame:
+    write_corpus(corpus, path)
+    return read_corpus(spark, path)
+
+
 def _fixed(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = _at_rest(spark, _documents(spark, sf_dir), fresh_path(spark, "corpus"))
     vectorizer = topics.fit_vectorizer(docs, MIN_DOCUMENTS)
     return vectorizer, topics.fix_rows(topics.vectorize(vectorizer, docs))
 
@@ -599,9 +605,7 @@ def online_distributions(spark, sf_dir):
 def _sweep(spark, sf_dir):
     corpus = _documents(spark, sf_dir).drop("removed")
     base = fresh_path(spark, "models")
-    path = f"{base}/CorpusD.parquet"
-    write_corpus(corpus, path)
-    corpus = read_corpus(spark, path)
+    corpus = _at_rest(spark, corpus, f"{base}/CorpusD.parquet")
     runs = list(
         model_corpus(corpus, "D", base, range(3, 6, 2), min_documents=MIN_DOCUMENTS, **FIT)
     )

@@ -20,6 +20,7 @@ INVARIANT_OR_IRREGULAR = {
 FINAL_AFTER_STEP_1A = {
     "inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed",
 }
+APOSTROPHES = {"'s'", "'s", "'"}
 LONG_PREFIXES = ("gener", "commun", "arsen")
 STEP_2 = {
     "ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous",
@@ -32,10 +33,11 @@ STEP_3 = {
     "ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic",
     "ative": "", "ical": "ic", "ness": "", "ful": "",
 }
-STEP_4 = (
+STEP_4 = {
     "ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate",
     "iti", "ous", "ive", "ize", "ion", "al", "er", "ic",
-)
+}
+STEP_1B = {"eed", "eedly", "ed", "edly", "ing", "ingly"}
 
 _NEXT_REGION = re.compile(r"[aeiouy][^aeiouy]")
 _Y_AS_CONSONANT = re.compile(r"(^|[aeiouy])y")
@@ -50,8 +52,13 @@ def _after(word: str, start: int) -> int:
     return hit.end() if hit else len(word)
 
 
-def _longest(word: str, suffixes) -> str | None:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
+def _longest(word: str, suffixes, longest: int) -> str:
+    """The longest suffix of ``word`` that is among ``suffixes``, or ""."""
+    for n in range(longest, 0, -1):
+        tail = word[-n:]
+        if tail in suffixes:
+            return tail
+    return ""
 
 
 def stem_word(word: str) -> str:
@@ -66,10 +73,9 @@ def stem_word(word: str) -> str:
     r1 = len(prefix) if prefix else _after(w, 0)
     r2 = _after(w, r1)
 
-    for tail in ("'s'", "'s", "'"):
-        if w.endswith(tail):
-            w = w[: -len(tail)]
-            break
+    tail = _longest(w, APOSTROPHES, 3)
+    if tail:
+        w = w[: -len(tail)]
 
     if w.endswith("sses"):
         w = w[:-2]
@@ -80,7 +86,7 @@ def stem_word(word: str) -> str:
     if w in FINAL_AFTER_STEP_1A:
         return w
 
-    tail = _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    tail = _longest(w, STEP_1B, 5)
     if tail in ("eed", "eedly"):
         if len(w) - len(tail) >= r1:
             w = w[: -len(tail)] + "ee"
@@ -96,7 +102,7 @@ def stem_word(word: str) -> str:
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
         w = w[:-1] + "i"
 
-    tail = _longest(w, STEP_2)
+    tail = _longest(w, STEP_2, 7)
     if tail and len(w) - len(tail) >= r1:
         before = w[: -len(tail)]
         if not (tail == "ogi" and not before.endswith("l")) and not (
@@ -104,11 +110,11 @@ def stem_word(word: str) -> str:
         ):
             w = before + STEP_2[tail]
 
-    tail = _longest(w, STEP_3)
+    tail = _longest(w, STEP_3, 7)
     if tail and len(w) - len(tail) >= r1 and (tail != "ative" or len(w) - len(tail) >= r2):
         w = w[: -len(tail)] + STEP_3[tail]
 
-    tail = _longest(w, STEP_4)
+    tail = _longest(w, STEP_4, 5)
     if tail and len(w) - len(tail) >= r2:
         if tail != "ion" or w[: -len(tail)].endswith(("s", "t")):
             w = w[: -len(tail)]

@@ -2,38 +2,57 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadmine.functions import porter2
 from threadmine.functions.porter2 import stem_word
+from threadmine.functions.text import word_rows
+
+# The functions travel with the query, so executors need no copy of this package.
+for _module in (porter2, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
+
+MEMO_WORDS = 1 << 20
 
 
-def _stem_distinct(words: pa.Array) -> pa.Array:
+def _stem_distinct(words: pa.Array, memo: dict[str, str]) -> pa.Array:
     """Stem an Arrow string array, running the rules once per distinct word."""
     coded = words.dictionary_encode()
-    stems = pa.array(
-        [None if w is None else stem_word(w) for w in coded.dictionary.to_pylist()], pa.string()
-    )
+    listed = coded.dictionary.to_pylist()
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    for word in listed:
+        if word is not None and word not in memo:
+            memo[word] = stem_word(word)
+    stems = pa.array([None if w is None else memo[w] for w in listed], pa.string())
     return stems.take(coded.indices)
 
 
 @F.arrow_udf(T.StringType())
-def _stem_string(words: pa.Array) -> pa.Array:
-    return _stem_distinct(words)
+def _stem_string(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    memo: dict[str, str] = {}
+    for words in batches:
+        yield _stem_distinct(words, memo)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def _stem_array(lists: pa.Array) -> pa.Array:
-    # flatten() honours slices and skips null lists, so the offsets are rebuilt from the sizes
-    sizes = lists.value_lengths().fill_null(0)
-    ends = pc.cumulative_sum(sizes).cast(pa.int32())
-    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-    return pa.ListArray.from_arrays(
-        offsets, _stem_distinct(lists.flatten()), mask=lists.is_null()
-    )
+def _stem_array(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    memo: dict[str, str] = {}
+    for lists in batches:
+        # flatten() honours slices and skips null lists, so the offsets are built from sizes
+        ends = pc.cumulative_sum(lists.value_lengths().fill_null(0)).cast(pa.int32())
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        stems = _stem_distinct(lists.flatten(), memo)
+        yield pa.ListArray.from_arrays(offsets, stems, mask=lists.is_null())
 
 
 def stem_words(words: str | Column) -> Column:
@@ -41,7 +60,7 @@ def stem_words(words: str | Column) -> Column:
 
     Row-local: no shuffle and no dictionary to ship, so a term that makes up a third of
     all tokens costs no more than any other. Inside each Arrow batch the tokens are
-    dictionary-encoded and only the distinct words reach the Python rules.
+    dictionary-encoded and only distinct words a task has not seen reach the Python rules.
     """
     return _stem_array(F.col(words) if isinstance(words, str) else words)
 
@@ -53,5 +72,5 @@ def stem_term(term: str | Column) -> Column:
 
 def stem_dictionary(df: DataFrame, words: str) -> DataFrame:
     """``(term, stem)`` for every distinct word of the array column ``words``."""
-    terms = df.select(F.explode(F.array_distinct(words)).alias("term")).distinct()
+    terms = word_rows(df, F.array_distinct(words)).distinct()
     return terms.withColumn("stem", stem_term("term"))

@@ -96,6 +96,17 @@ def tokenize(text: str | Column, min_length: int = 2) -> Column:
     return F.filter(F.split(F.lower(_col(text)), TOKEN_GAP), lambda t: F.length(t) >= floor)
 
 
+def word_rows(df: DataFrame, words: str | Column, *keep: str, into: str = "term") -> DataFrame:
+    """One row per word of an array column, next to the ``keep`` columns.
+
+    An inner ``explode`` makes the optimizer add a not-empty filter on its input, which
+    repeats the whole expression behind ``words`` (cleaning, stemming) below it. The outer
+    form with the filter on the result computes it once.
+    """
+    rows = df.select(*keep, F.explode_outer(_col(words)).alias(into))
+    return rows.filter(F.col(into).isNotNull())
+
+
 def word_list(words: Iterable[str] | DataFrame) -> list[str]:
     """Trimmed, lower-cased, distinct words, in order; a DataFrame is read up to a limit."""
     if isinstance(words, DataFrame):

@@ -58,8 +58,10 @@ def spread_topics(df: DataFrame, values: str, k: int, name: str = "Topic {}") ->
 
 def topic_rows(df: DataFrame, values: str = "weights", into: str = "weight") -> DataFrame:
     """Long form ``(id, topic, weight)``; topics count from 1."""
-    rows = df.select("id", F.posexplode(values).alias("_at", into))
-    return rows.select("id", (F.col("_at") + 1).alias("topic"), into)
+    rows = df.select("id", F.posexplode_outer(values).alias("_at", into))
+    return rows.filter(F.col("_at").isNotNull()).select(
+        "id", (F.col("_at") + 1).alias("topic"), into
+    )
 
 
 def topic_arrays(rows: DataFrame) -> DataFrame:

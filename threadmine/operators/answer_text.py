@@ -64,7 +64,7 @@ def cleaned_in_parts(
         "parentId", "id", F.split(fold("body", control_to_space), _LINE_END).alias("pieces")
     )
     pieces = folded.select(
-        "parentId", "id", F.posexplode("pieces").alias("piece", "text")
+        "parentId", "id", F.posexplode_outer("pieces").alias("piece", "text")
     ).withColumn("at", F.struct("id", "piece"))
     order = ["id", "piece"]
 

@@ -54,7 +54,10 @@ def _topic_weights(distributions: DataFrame, keep: list[str], single_winner: boo
     top = F.array_max(weights)
     winner = F.array_position(weights, top) if single_winner else F.lit(None).cast("bigint")
     measured = distributions.withColumn("top", top).withColumn("winner", winner)
-    rows = measured.select("top", "winner", *keep, F.posexplode("weights").alias("at", "weight"))
+    # outer, so that no copy of the weights' expression is put into a not-empty filter below
+    rows = measured.select(
+        "top", "winner", *keep, F.posexplode_outer("weights").alias("at", "weight")
+    ).filter(F.col("at").isNotNull())
     dominant = F.col("weight") == F.col("top")
     if single_winner:
         dominant = F.col("at") + 1 == F.col("winner")

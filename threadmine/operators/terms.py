@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmine.functions.text import word_rows
 from threadmine.operators.corpus import corpus_heads
 
 MIN_DOCUMENTS = 3
@@ -18,7 +19,7 @@ def corpus_size(corpus: DataFrame) -> DataFrame:
 
 def term_frequency(corpus: DataFrame, words: str = "removed") -> DataFrame:
     """``(term, count)`` over the whole corpus."""
-    return corpus.select(F.explode(words).alias("term")).groupBy("term").count()
+    return word_rows(corpus, words).groupBy("term").count()
 
 
 def top_terms(corpus: DataFrame, n: int = 20, words: str = "removed") -> DataFrame:
@@ -28,33 +29,64 @@ def top_terms(corpus: DataFrame, n: int = 20, words: str = "removed") -> DataFra
 
 def term_counts(corpus: DataFrame, words: str = "removed") -> DataFrame:
     """``(id, term, count)``: how often a document has a term."""
-    return corpus.select("id", F.explode(words).alias("term")).groupBy("id", "term").count()
+    return word_rows(corpus, words, "id").groupBy("id", "term").count()
 
 
 def document_frequency(
     corpus: DataFrame, min_documents: int = 1, words: str = "removed"
 ) -> DataFrame:
     """``(term, documents)`` for terms found in at least ``min_documents`` documents."""
-    distinct = F.explode(F.array_distinct(words)).alias("term")
+    distinct = F.array_distinct(words)
     if "part" in corpus.columns:
         # the terms of a spread document are made distinct across its parts
-        one_row = corpus.filter(F.col("part").isNull()).select(distinct)
-        spread = corpus.filter(F.col("part").isNotNull()).select("id", distinct).distinct()
+        one_row = word_rows(corpus.filter(F.col("part").isNull()), distinct)
+        parts = corpus.filter(F.col("part").isNotNull())
+        spread = word_rows(parts, distinct, "id").distinct()
         found = one_row.unionByName(spread.select("term"))
     else:
-        found = corpus.select(distinct)
+        found = word_rows(corpus, distinct)
     counted = found.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
     return counted.filter(F.col("documents") >= min_documents)
 
 
+def term_statistics(corpus: DataFrame, words: str = "removed") -> DataFrame:
+    """``(term, count, documents)`` in one pass over the corpus and one shuffle.
+
+    Sorting a document's words inside its row shows which of them come first of their
+    kind, so documents need no grouping; only spread documents are counted by id before.
+    """
+    one_row = corpus
+    if "part" in corpus.columns:
+        one_row = corpus.filter(F.col("part").isNull())
+    ordered = one_row.select(F.array_sort(words).alias("ordered"))
+    first_of_kind = F.transform(
+        "ordered",
+        lambda term, at: F.struct(
+            term.alias("term"), ((at == 0) | (F.get("ordered", at - 1) != term)).alias("first")
+        ),
+    )
+    occurrences = word_rows(ordered, first_of_kind, into="word").select(
+        "word.term",
+        F.lit(1).cast("bigint").alias("count"),
+        F.col("word.first").cast("bigint").alias("documents"),
+    )
+    if "part" in corpus.columns:
+        spread = term_counts(corpus.filter(F.col("part").isNotNull()), words)
+        occurrences = occurrences.unionByName(
+            spread.select("term", "count", F.lit(1).cast("bigint").alias("documents"))
+        )
+    return occurrences.groupBy("term").agg(
+        F.sum("count").alias("count"), F.sum("documents").alias("documents")
+    )
+
+
 def vocabulary(
     corpus: DataFrame, min_documents: int = MIN_DOCUMENTS, limit: int = VOCABULARY_LIMIT,
     words: str = "removed",
 ) -> DataFrame:
     """``(term, count)``: the ``limit`` most frequent of the terms common enough to model."""
-    common = document_frequency(corpus, min_documents, words).select("term")
-    counted = term_frequency(corpus, words).join(common, "term", "left_semi")
-    return counted.orderBy(F.desc("count"), "term").limit(limit)
+    common = term_statistics(corpus, words).filter(F.col("documents") >= min_documents)
+    return common.select("term", "count").orderBy(F.desc("count"), "term").limit(limit)
 
 
 def vocabulary_size(
