@@ -19,6 +19,7 @@ from threadmine.functions.text import (
     strip_symbols,
 )
 from threadmine.operators.skew import SALTS, carry_last, salted_join
+from threadmine.session import ensure_checkpoints
 
 # Line ends that survive the removal of control characters. "." does not match them, so a
 # code block never reaches across one.
@@ -58,14 +59,17 @@ def cleaned_in_parts(
     """``(id, part, cleaned)`` per answer: its share of the cleaned concatenation.
 
     ``id`` is the question and ``part`` the answer. Only single answers are ever held
-    together; what crosses answers travels as flags and positions.
+    together; what crosses answers travels as flags and positions. The two tables that
+    several later steps read are checkpointed, so nothing before them is computed again.
     """
+    ensure_checkpoints(answers.sparkSession)
     folded = answers.select(
         "parentId", "id", F.split(fold("body", control_to_space), _LINE_END).alias("pieces")
     )
     pieces = folded.select(
         "parentId", "id", F.posexplode_outer("pieces").alias("piece", "text")
-    ).withColumn("at", F.struct("id", "piece"))
+    ).checkpoint()
+    pieces = pieces.withColumn("at", F.struct("id", "piece"))
     order = ["id", "piece"]
 
     # 1. The line a piece belongs to: named after the piece that begins it, "" for the first.
@@ -93,7 +97,8 @@ def cleaned_in_parts(
         .when((at > opened) & (at < closed), F.lit(""))
         .otherwise(F.col("text"))
     )
-    plain = bounded.select("parentId", "id", "piece", "at", without_code.alias("text"))
+    plain = bounded.select("parentId", "id", "piece", without_code.alias("text")).checkpoint()
+    plain = plain.withColumn("at", F.struct("id", "piece"))
 
     # 3. Tags: a piece may start inside one that an earlier piece opened, and may leave one
     #    open for a later piece, provided some later piece has a ">" at all.

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadmine.session import ensure_checkpoints
+
 SALTS = 32
 INLINE_KEYS = 1_000
 
@@ -74,6 +76,7 @@ def heavy_keys(df: DataFrame, key: str, max_rows: int, inline: int = INLINE_KEYS
     first = keys.limit(inline + 1).collect()
     if len(first) <= inline:
         return KeySet(keys, tuple(sorted(r[0] for r in first if r[0] is not None)))
+    ensure_checkpoints(df.sparkSession)
     return KeySet(keys.checkpoint(), None)
 
 

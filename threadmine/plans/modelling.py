@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from threadmine.functions.text import DOMAIN_STOP_WORDS
@@ -50,25 +51,31 @@ def model_corpus(
     removed = without_domain_words(corpus, domain_words)
     started = time.monotonic()
     vectorizer = fit_vectorizer(removed, min_documents)
-    fixed = fix_rows(vectorize(vectorizer, removed))
+    # every iteration of every fit reads the vectors; lost cache blocks come back from the
+    # checkpoint
+    fixed = fix_rows(vectorize(vectorizer, removed)).persist(StorageLevel.MEMORY_AND_DISK)
     prepared = time.monotonic() - started
     documents = corpus_size(corpus).first()[0]
-    for k in topic_counts:
-        started = time.monotonic()
-        save_vectorizer(vectorizer, base, corpus_id, k)
-        fitted = fit_topics(fixed, k, optimizer, iterations, alpha, beta, seed)
-        path = save_model(fitted, base, corpus_id)
-        if optimizer == "em":
-            weights = saved_distributions(spark, path)
-        else:
-            weights = inferred_distributions(fitted.model, fixed)
-        top = reports.top_documents(weights, documents_per_topic)
-        report = reports.report_rows(
-            topic_terms(fitted.model, vectorizer, terms_per_topic),
-            reports.with_titles(top, corpus) if documents_per_topic > 0 else None,
-        )
-        statistics = reports.run_statistics(
-            spark, corpus_id, documents, len(vectorizer.vocabulary), k, fitted.alpha,
-            fitted.beta, iterations, prepared + time.monotonic() - started,
-        )
-        yield ModelRun(fitted, path, weights, report, statistics)
+    try:
+        for k in topic_counts:
+            started = time.monotonic()
+            save_vectorizer(vectorizer, base, corpus_id, k)
+            fitted = fit_topics(fixed, k, optimizer, iterations, alpha, beta, seed)
+            path = save_model(fitted, base, corpus_id)
+            if optimizer == "em":
+                weights = saved_distributions(spark, path)
+            else:
+                weights = inferred_distributions(fitted.model, fixed)
+            top = reports.top_documents(weights, documents_per_topic)
+            report = reports.report_rows(
+                topic_terms(fitted.model, vectorizer, terms_per_topic),
+                reports.with_titles(top, corpus) if documents_per_topic > 0 else None,
+            )
+            seconds = prepared + time.monotonic() - started
+            statistics = reports.run_statistics(
+                spark, corpus_id, documents, len(vectorizer.vocabulary), k, fitted.alpha,
+                fitted.beta, iterations, seconds,
+            )
+            yield ModelRun(fitted, path, weights, report, statistics)
+    finally:
+        fixed.unpersist()
