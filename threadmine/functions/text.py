@@ -140,9 +140,12 @@ def remove_words_by_join(terms: DataFrame, words: DataFrame, term: str = "term")
 
 
 def has_tag(tags: str | Column, needles: Iterable[str] = SPARK_TAGS) -> Column:
-    """True when the tag string contains any needle as a substring; null tags are false."""
+    """True when the tag string contains any needle as a substring; null tags are false.
+
+    Written as plain conjuncts, which the parquet scan takes as pushed filters.
+    """
     tags = _col(tags)
-    return F.coalesce(reduce(or_, [tags.contains(n) for n in needles]), F.lit(False))
+    return tags.isNotNull() & reduce(or_, [tags.contains(n) for n in needles])
 
 
 def join_tokens(tokens: str | Column) -> Column:
@@ -169,5 +172,5 @@ def register_sql_functions(spark: SparkSession) -> None:
     needles = " OR ".join(f"contains(tags, '{n}')" for n in SPARK_TAGS)
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION sparkRelated(tags STRING) "
-        f"RETURNS BOOLEAN RETURN coalesce({needles}, false)"
+        f"RETURNS BOOLEAN RETURN tags IS NOT NULL AND ({needles})"
     )
