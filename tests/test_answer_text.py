@@ -52,7 +52,7 @@ def test_whole_and_parts_equal_the_model(spark):
     whole = {r.id: r.cleaned for r in cleaned_whole(answers).collect()}
     assert whole == expected
 
-    parts = cleaned_in_parts(answers, salts=3, span=16)
+    parts = cleaned_in_parts(answers, span=16)
     listed = parts.select("id", "part", tokenize("cleaned", 1).alias("t")).collect()
     assert len(listed) == len(rows)
     got = {}
@@ -70,10 +70,10 @@ def test_per_answer_cleaning_keeps_code_apart(spark):
 
 
 def test_no_window_or_group_by_question_alone(spark):
-    """The parts of a question are dealt over tasks by ranges and salts."""
+    """The parts of a question are dealt over tasks by ranges."""
     answers = spark.range(4000).select(
         "id", F.lit(1).cast("bigint").alias("parentId"), F.lit("<b>x").alias("body")
     )
-    parts = cleaned_in_parts(answers, salts=8, span=256)
+    parts = cleaned_in_parts(answers, span=256)
     assert parts.count() == 4000
     assert parts.select(F.explode(tokenize("cleaned", 1))).count() == 4000

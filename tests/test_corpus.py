@@ -114,13 +114,13 @@ def test_heavy_keys_as_table_or_literals(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_the_plain_join(spark, how):
+def test_spread_join_equals_the_plain_join(spark, how):
     left = spark.range(200).selectExpr("id", "id % 7 AS k")
     right = spark.createDataFrame([(0, "a"), (3, "b"), (50, "c")], "k BIGINT, v STRING")
     plain = left.join(right, ["k"], how)
-    salted = skew.salted_join(left, right, ["k"], how, "id", salts=4)
-    assert plain.exceptAll(salted.select(plain.columns)).count() == 0
-    assert plain.count() == salted.count()
+    spread = skew.spread_join(left, right, ["k"], how, "id", span=16)
+    assert plain.exceptAll(spread.select(plain.columns)).count() == 0
+    assert plain.count() == spread.count()
 
 
 def test_carry_last_equals_a_plain_window(spark):

@@ -18,7 +18,7 @@ from threadmine.functions.text import (
     fold,
     strip_symbols,
 )
-from threadmine.operators.skew import SALTS, carry_last, salted_join
+from threadmine.operators.skew import SPAN, carry_last, spread_join
 from threadmine.session import ensure_checkpoints
 
 # Line ends that survive the removal of control characters. "." does not match them, so a
@@ -54,7 +54,7 @@ def cleaned_each(answers: DataFrame, control_to_space: bool = False) -> DataFram
 
 
 def cleaned_in_parts(
-    answers: DataFrame, control_to_space: bool = False, salts: int = SALTS, span: int = 1 << 16
+    answers: DataFrame, control_to_space: bool = False, span: int = SPAN
 ) -> DataFrame:
     """``(id, part, cleaned)`` per answer: its share of the cleaned concatenation.
 
@@ -68,25 +68,26 @@ def cleaned_in_parts(
     )
     pieces = folded.select(
         "parentId", "id", F.posexplode_outer("pieces").alias("piece", "text")
-    ).checkpoint()
-    pieces = pieces.withColumn("at", F.struct("id", "piece"))
+    )
     order = ["id", "piece"]
 
     # 1. The line a piece belongs to: named after the piece that begins it, "" for the first.
     begins = F.when(F.col("piece") > 0, F.concat_ws(":", "id", "piece"))
-    lined = carry_last(
+    carried = carry_last(
         pieces.withColumn("begins", begins), "parentId", order, "begins", "running", span
-    ).withColumn("line", F.coalesce("begins", "running", F.lit("")))
+    )
+    line = F.coalesce("begins", "running", F.lit("")).alias("line")
+    lined = carried.select("parentId", "id", "piece", line, "text").checkpoint()
+    lined = lined.withColumn("at", F.struct("id", "piece"))
 
     # 2. Code: everything between the first opening and the last closing mark of a line.
     marks = lined.groupBy("parentId", "line").agg(
         F.min(F.when(F.col("text").contains(_OPEN), F.col("at"))).alias("opened"),
         F.max(F.when(F.col("text").contains(_CLOSE), F.col("at"))).alias("closed"),
     )
-    bounded = salted_join(
-        lined.select("parentId", "id", "piece", "at", "line", "text"),
-        marks.filter(F.col("opened") <= F.col("closed")),
-        ["parentId", "line"], "left", "id", salts,
+    bounded = spread_join(
+        lined, marks.filter(F.col("opened") <= F.col("closed")), ["parentId", "line"], "left",
+        "id", span,
     )
     at, opened, closed = F.col("at"), F.col("opened"), F.col("closed")
     without_code = (
@@ -111,7 +112,7 @@ def cleaned_in_parts(
     last_end = plain.filter(F.col("text").contains(">")).groupBy("parentId").agg(
         F.max("at").alias("last_end")
     )
-    placed = salted_join(carried, last_end, ["parentId"], "left", "id", salts)
+    placed = spread_join(carried, last_end, ["parentId"], "left", "id", span)
     inside = F.coalesce("inside", F.lit(False))
     more_ends = F.coalesce(F.col("at") < F.col("last_end"), F.lit(False))
     opened_before = (

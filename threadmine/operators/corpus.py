@@ -17,7 +17,7 @@ from threadmine.functions.text import (
 )
 from threadmine.operators.answer_text import cleaned_each, cleaned_in_parts, cleaned_whole
 from threadmine.operators.selection import answers_of
-from threadmine.operators.skew import heavy_keys
+from threadmine.operators.skew import heavy_keys, spread_join
 
 CORPUS_COLUMNS = (
     "id", "creationDate", "score", "viewCount", "title", "document", "tags",
@@ -74,7 +74,9 @@ def _answer_texts(
     if heavy.empty:
         return whole, None, heavy
     asked = heavy.keep(questions.select("id"), "id", "id").withColumnRenamed("id", "parentId")
-    large = heavy.keep(answers, "parentId", "id").join(asked, "parentId", "left_semi")
+    large = spread_join(
+        heavy.keep(answers, "parentId", "id"), asked, ["parentId"], "left_semi", "id"
+    )
     if per_answer:
         parts = large.select(
             F.col("parentId").alias("id"), F.col("id").alias("part"),
@@ -94,12 +96,14 @@ def answer_corpus(
     ``part`` is null where one row holds all answers. A question with more than
     ``max_answers`` of them has one row per answer, ``part`` being the answer's id.
     """
-    whole, parts, _ = _answer_texts(questions, answers, prep, max_answers, per_answer)
-    texts = whole.withColumn("part", F.lit(None).cast("bigint"))
-    if parts is not None:
-        texts = texts.unionByName(parts)
+    whole, parts, heavy = _answer_texts(questions, answers, prep, max_answers, per_answer)
     titles = questions.select("id", "title")
-    return texts.join(titles, "id", "left").select("id", "part", "title", "cleaned")
+    columns = ("id", "part", "title", "cleaned")
+    one_row = whole.join(titles, "id", "left").withColumn("part", F.lit(None).cast("bigint"))
+    if parts is None:
+        return one_row.select(*columns)
+    titled = spread_join(parts, heavy.keep(titles, "id", "id"), ["id"], "left", "part")
+    return one_row.select(*columns).unionByName(titled.select(*columns))
 
 
 def question_answer_corpus(

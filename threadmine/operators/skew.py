@@ -5,30 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadmine.session import ensure_checkpoints
 
-SALTS = 32
+SPAN = 1 << 16
 INLINE_KEYS = 1_000
 
 
-def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread: str | Column,
-    salts: int = SALTS,
+def spread_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, order: str, span: int = SPAN
 ) -> DataFrame:
-    """Equi-join that deals the rows of one left key over ``salts`` tasks.
+    """Equi-join whose tasks get at most ``span`` consecutive values of ``order`` per key.
 
-    ``spread`` is a left expression that differs within a key. The right side, which has
-    one narrow row per key, is repeated once per salt. ``how`` is any type that keeps
+    ``order`` is a whole number that differs within a left key, such as a post id. The
+    ranges a key really has are found by a pre-aggregated distinct; the right side, one
+    narrow row per key, is repeated for those only. So the number of pieces follows the
+    size of the key, and nothing has to be known about it. ``how`` is any type that keeps
     left rows (``inner``, ``left``, ``left_semi``, ``left_anti``).
     """
-    spread = F.col(spread) if isinstance(spread, str) else spread
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+    ranged = left.withColumn("_range", F.floor(F.col(order) / F.lit(span)))
+    repeated = ranged.select(*on, "_range").distinct().join(right, list(on))
+    return ranged.join(repeated, [*on, "_range"], how).drop("_range")
 
 
 def over_all_cores(df: DataFrame) -> DataFrame:
@@ -49,19 +49,19 @@ class KeySet:
     def empty(self) -> bool:
         return self.inline == ()
 
-    def keep(self, df: DataFrame, column: str, spread: str) -> DataFrame:
+    def keep(self, df: DataFrame, column: str, order: str) -> DataFrame:
         if self.inline is not None:
             return df.filter(F.col(column).isin(list(self.inline)))
-        return self._join(df, column, spread, "left_semi")
+        return self._join(df, column, order, "left_semi")
 
-    def drop(self, df: DataFrame, column: str, spread: str) -> DataFrame:
+    def drop(self, df: DataFrame, column: str, order: str) -> DataFrame:
         if self.inline is not None:
             return df if self.empty else df.filter(~F.col(column).isin(list(self.inline)))
-        return self._join(df, column, spread, "left_anti")
+        return self._join(df, column, order, "left_anti")
 
-    def _join(self, df: DataFrame, column: str, spread: str, how: str) -> DataFrame:
+    def _join(self, df: DataFrame, column: str, order: str, how: str) -> DataFrame:
         keyed = df.withColumn("_key", F.col(column))
-        return salted_join(keyed, self.keys, ["_key"], how, spread).drop("_key")
+        return spread_join(keyed, self.keys, ["_key"], how, order).drop("_key")
 
 
 def heavy_keys(df: DataFrame, key: str, max_rows: int, inline: int = INLINE_KEYS) -> KeySet:
@@ -81,7 +81,7 @@ def heavy_keys(df: DataFrame, key: str, max_rows: int, inline: int = INLINE_KEYS
 
 
 def carry_last(
-    df: DataFrame, key: str, order: Sequence[str], value: str, into: str, span: int = 1 << 16
+    df: DataFrame, key: str, order: Sequence[str], value: str, into: str, span: int = SPAN
 ) -> DataFrame:
     """Add ``into``: the last non-null ``value`` among the earlier rows of the same key.
 
