@@ -20,11 +20,14 @@ def one(spark, value, column):
         ("1 < 2 > 3", " " * 5),
         ("v2.10.3 of 2018.", "v  of   "),
         ("1.2.", "  "),
+        ("1." * 200_000 + "1", " "),
+        ("<" + "x" * 500_000 + ">", " "),
         ("a|b\\c", "a|b\\c"),
         ("!@#$%^&*()_=+.,<:;?/{}`~'\"[]-", " " * 29),
         ("A <pre>b" + chr(0x2028) + "c</pre>", "a  b" + chr(0x2028) + "c "),
         (None, None),
     ],
+    ids=lambda value: str(value)[:20],
 )
 def test_clean_document(spark, raw, cleaned):
     assert one(spark, raw, text.clean_document("v")) == cleaned

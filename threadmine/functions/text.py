@@ -32,8 +32,8 @@ SPARK_TAGS = (
     "spark-hive",
 )
 CODE_BLOCK = "<pre>.+</pre>"
-MARKUP_TAG = "<([^>])+>"
-NUMBER = r"\d+((\.\d+)?)*"
+MARKUP_TAG = "<[^>]+>"
+NUMBER = r"\d+(?:\.\d+)*+"  # possessive: matched in a loop, so long ones cannot exhaust the stack
 PUNCTUATION = r"[!@#$%^&*()_=+.,<>:;?/{}`~'\"\[\]\-]"
 TOKEN_GAP = r"[\W_]+"
 

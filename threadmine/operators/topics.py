@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, DistributedLDAModel, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -181,8 +182,9 @@ def distributions(fitted: TopicModel) -> DataFrame:
 
 def vocabulary_table(spark: SparkSession, vectorizer: CountVectorizerModel) -> DataFrame:
     """``(termIndex, term)``, at most as long as the vocabulary limit."""
+    terms = pa.array(vectorizer.vocabulary, pa.string())
     return spark.createDataFrame(
-        list(enumerate(vectorizer.vocabulary)), "termIndex INT, term STRING"
+        pa.table({"termIndex": pa.array(range(len(terms)), pa.int32()), "term": terms})
     )
 
 

@@ -11,23 +11,26 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` decides. Only where it is unset (tests, a laptop) is a
-    temporary folder made, and only for a local master.
+    ``spark.checkpoint.dir`` decides, or else the checkpoint folder the session was given.
+    Only where neither is set (tests, a laptop) is a temporary folder made, and only for a
+    local master.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="threadmine-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="threadmine-"))
+    return context.getCheckpointDir()
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` and checkpointed model fits usable."""
+    folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
