@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -97,11 +98,14 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 class WordIds:
     """Token ids of texts, word by word.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of
-    its words in a row. Each word is tokenized once per worker while it is remembered.
+    The tokenizer must drop white space and let no token cross it (checked on a probe), so a
+    text's ids are those of its words in a row. Each word is tokenized once per worker while
+    it is remembered. Plain words, which the tokenizer's splitting leaves whole, go straight
+    to its merging model; a full stop or comma after one is a token of its own.
     """
 
-    BREAK = "\ue000"  # a private character, stands between words that are tokenized together
+    PLAIN = re.compile("[a-zß-öø-ÿ]+")
+    PROBE = "Two wörds, and more\n of them. It's 3"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,41 +113,49 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.mark = np.array(self._ids(self.BREAK), "<u4")
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        # Byte-level models name a byte by its character if that is printable, and else by
+        # the next free one from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_names = {b: 256 + i for i, b in enumerate(hidden)}
+        if b"".join(self([self.PROBE])) != self._packed(self._encode([self.PROBE])[0]):
+            raise ValueError(f"the tokenizer {path} does not work word by word")
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [one.ids for one in found]
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
     def learn(self, words: Iterable[bytes]) -> None:
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = set(words)
-        odd = [w for w in new if self.BREAK.encode() in w]
-        for word in odd:
-            self.known[word] = np.array(self._ids(word.decode()), "<u4").tobytes()
-        plain = list(new.difference(odd))
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            ids = np.array(self._ids(f" {self.BREAK} ".join(w.decode() for w in some)), "<u4")
-            n = len(self.mark)
-            starts = np.ones(max(0, len(ids) - n + 1), bool)
-            for i, x in enumerate(self.mark):
-                starts &= ids[i : i + len(starts)] == x
-            ends = [*np.flatnonzero(starts).tolist(), len(ids)]
-            if len(ends) != len(some):  # a word whose ids look like the break
-                for word in some:
-                    self.known[word] = np.array(self._ids(word.decode()), "<u4").tobytes()
+        known, rest = self.known, []
+        for word in new:
+            core = word.lower()
+            mark = core[-1:] if core.endswith((b".", b",")) else b""
+            core = core.removesuffix(mark)
+            text = core.decode().lower()
+            if not self.PLAIN.fullmatch(text):
+                rest.append(word)
                 continue
-            begin = 0
-            for word, end in zip(some, ends, strict=True):
-                self.known[word] = ids[begin:end].tobytes()
-                begin = end + n
+            if core not in known:
+                text = text.encode().decode("latin-1").translate(self.byte_names)
+                known[core] = self._packed([t.id for t in self.tokenizer.model.tokenize(text)])
+            if mark and mark not in known:
+                known[mark] = self._packed(self._encode([mark.decode()])[0])
+            known[word] = known[core] + known[mark] if mark else known[core]
+        for word, ids in zip(rest, self._encode([w.decode() for w in rest]), strict=True):
+            known[word] = self._packed(ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [text.encode().split() for text in texts]
-        self.learn(list(chain.from_iterable(words)))
+        self.learn(chain.from_iterable(words))
         return [b"".join(map(self.known.__getitem__, own)) for own in words]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmine.llm import packing
+from threadmine.llm import packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +30,13 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)
     )
+
+
+@query
+def op5_simhash_pigeonring(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_sampled_splitters(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
