@@ -1,0 +1,74 @@
+import random
+import zlib
+
+import numpy as np
+
+from threadmine.llm import toxicity
+
+
+def fold(key):
+    return zlib.crc32(str(key).encode()) % 5
+
+
+def corpus(seed=1, n=900):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota"]
+    docs, labels = [], []
+    for key in range(n):
+        own = [rng.choice(words) for _ in range(rng.randrange(5, 40))]
+        bad = rng.random() < 0.15
+        if bad:
+            own[rng.randrange(len(own))] = rng.choice(["Vile", "rotten!"])
+        docs.append((key, " ".join(own), "x"))
+        if rng.random() < 0.6:
+            labels.append((key, int(bad)))
+    docs += [(5000, None, "x"), (5001, "", "x"), (None, "vile rotten", None), (5002, "vile " * 9000, "x")]
+    return docs, labels
+
+
+def frames(spark, docs, labels):
+    return (
+        spark.createDataFrame(docs, "doc_id long, text string, score string"),
+        spark.createDataFrame(labels, "doc_id long, toxic int"),
+    )
+
+
+def test_held_out_accuracy_and_rejection(spark):
+    docs, labels = corpus()
+    frame, known = frames(spark, docs, labels)
+    got = {r.doc_id: r for r in toxicity.score_documents(frame, known).collect()}
+    assert len(got) == len(docs)
+    assert all(r.held_out == (k is None or fold(k) == 0) for k, r in got.items())
+    assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got.values())
+    truth = {k: t for k, t in labels if fold(k) == 0}
+    right = sum(got[k].predicted == t for k, t in truth.items())
+    assert right >= 0.97 * len(truth)
+    assert got[5000].score == got[5001].score < 0.5 < got[5002].score
+    kept = toxicity.without_toxic(frame, known)
+    assert kept.schema == frame.schema
+    assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if not r.predicted}
+
+
+def test_labels_of_the_held_out_fold_change_nothing(spark):
+    docs, labels = corpus()
+    other = [(k, 1 - t if fold(k) == 0 else t) for k, t in labels]
+    first, second = (
+        {r.doc_id: r.score for r in toxicity.score_documents(*frames(spark, docs, own)).collect()}
+        for own in (labels, other)
+    )
+    assert first == second
+
+
+def test_no_positive_no_rows(spark):
+    frame, known = frames(spark, [(1, "a", None)] * 2, [(1, 0), (None, 1)])
+    assert [r.score for r in toxicity.score_documents(frame, known).collect()] == [0.0, 0.0]
+    frame, known = frames(spark, [], [])
+    assert toxicity.score_documents(frame, known).count() == 0
+
+
+def test_risk_gradient_leads_to_a_separating_word():
+    rng = np.random.default_rng(0)
+    positive = np.arange(400) < 100
+    rows = [np.array([0] if p or rng.random() < 0.1 else [1]) for p in positive]
+    w, b = toxicity.fit_risk(rows, positive, 2, 0.1)
+    assert w[0] + b > 0 > w[1] + b

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmine.llm import packing, sharding, simhash
+from threadmine.llm import language, packing, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,15 @@ def op5_simhash_pigeonring(spark, sf_dir):
 @query
 def op6_sampled_splitters(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_nonnegative_pu(spark, sf_dir):
+    return toxicity.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+@query
+def op10_recurrent_language_id(spark, sf_dir):
+    return language.predict_languages(table(spark, sf_dir, "documents"))
