@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmine.llm import language, packing, sharding, simhash, toxicity
+from threadmine.llm import language, minhash, packing, repeats, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,11 @@ def op6_sampled_splitters(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_suffix_radix_sort(spark, sf_dir):
+    return repeats.removal_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_nonnegative_pu(spark, sf_dir):
     return toxicity.score_documents(
@@ -49,6 +54,11 @@ def op8_nonnegative_pu(spark, sf_dir):
     )
 
 
+@query
+def op9_minhash(spark, sf_dir):
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_recurrent_language_id(spark, sf_dir):
     return language.predict_languages(table(spark, sf_dir, "documents"))
