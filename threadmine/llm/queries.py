@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmine.llm import language, minhash, packing, repeats, sharding, simhash, toxicity
+from threadmine.llm import language, minhash, mixing, packing, repeats, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,12 @@ def op1_best_fit_packing(spark, sf_dir):
     )
 
 
+@query
+def op2_temperature_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", *[c for c in mixed.columns if "mixing_" in c])
+
+
 @query
 def op5_simhash_pigeonring(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
