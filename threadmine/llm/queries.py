@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmine.llm import language, minhash, mixing, packing, repeats, sharding, simhash, toxicity
+from threadmine.llm import (
+    language,
+    minhash,
+    mixing,
+    packing,
+    quotes,
+    repeats,
+    search,
+    sharding,
+    simhash,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +49,18 @@ def op2_temperature_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", *[c for c in mixed.columns if "mixing_" in c])
 
 
+@query
+def op3_quotation_linking(spark, sf_dir):
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op4_block_max_search(spark, sf_dir):
+    """Queries are all documents whose id is divisible by 100, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter("doc_id % 100 = 0"))
+
+
 @query
 def op5_simhash_pigeonring(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
