@@ -85,3 +85,11 @@ def test_word_by_word_equals_whole(texts):
     want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
     got = packing.word_ids(PATH)(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    whole, by_word = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    for text in ("some words are here, and more.", "others are here", "some words, then"):
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(by_word([text])[0], "<u4").tolist() == want

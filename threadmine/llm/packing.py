@@ -130,10 +130,11 @@ class WordIds:
         return np.array(ids, "<u4").tobytes()
 
     def learn(self, words: Iterable[bytes]) -> None:
-        new = set(words).difference(self.known)
+        wanted = set(words)
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set(words)
+            new = wanted
         known, rest = self.known, []
         for word in new:
             core = word.lower()
