@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
+from checks.folders import own_folder
 from checks.oracles import ORACLES
 from checks.queries import REGISTERED
 
@@ -57,6 +58,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    own_folder(spark)
     bad = 0
     for name in names or REGISTERED:
         started = time.monotonic()

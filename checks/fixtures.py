@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.operators.skew import over_all_cores
-
 TOPICS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return over_all_cores(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +17,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     assistant turns are its answers, other turns are posts of a third kind."""
     talk = table(spark, sf_dir, "conversations")
     first = talk.filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("qturn"))
-    return talk.join(first, "conv_id").selectExpr(
+    return talk.join(first, "conv_id", "left").selectExpr(
         "conv_id * 100 + turn AS id",
         "CASE WHEN turn = qturn THEN 1 WHEN role = 'assistant' THEN 2 ELSE 3 END AS postTypeId",
         "CASE WHEN turn = qturn AND conv_id % 3 = 0 THEN conv_id * 100 + turn + 1 END"
@@ -32,7 +30,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         " AS viewCount",
         "concat('<p>', text, '</p>', CASE WHEN conv_id % 5 = 0 THEN '<pre>val x = 1</pre> tail'"
         " ELSE '' END) AS body",
-        "CASE WHEN turn = qturn THEN substring(text, 1, 60) END AS title",
+        "CASE WHEN turn = qturn THEN text END AS title",
         "CASE WHEN turn = qturn THEN CASE conv_id % 4 WHEN 0 THEN '<apache-spark><scala>'"
         " WHEN 1 THEN '<pyspark-sql>' WHEN 2 THEN '<java>' ELSE '' END END AS tags",
         "CASE WHEN turn = qturn THEN CAST(conv_id % 5 AS INT) END AS answerCount",
@@ -82,10 +80,15 @@ def broken_lines(posts: DataFrame) -> DataFrame:
 
 
 def distributions(spark: SparkSession, sf_dir: str, k: int = TOPICS) -> DataFrame:
-    """``(id, weights)`` from the first ``k`` components of the embeddings."""
+    """``(id, weights)``: topic t has the sizes of all components of the embedding whose place
+    leaves the remainder t when divided by ``k``."""
+    def size(t: Column) -> Column:
+        own = F.filter("embedding", lambda _, i: i % k == t)
+        return F.aggregate(own, F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+
     sizes = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.transform(F.slice("embedding", 1, k), lambda x: F.abs(x.cast("double"))).alias("sizes"),
+        F.transform(F.sequence(F.lit(0), F.lit(k - 1)), size).alias("sizes"),
     )
     total = F.aggregate("sizes", F.lit(0.0), lambda a, x: a + x)
     return sizes.withColumn("total", total).select(

@@ -48,7 +48,7 @@ posts AS (
       AS "viewCount",
     '<p>' || c.text || '</p>'
       || CASE WHEN c.conv_id % 5 = 0 THEN '<pre>val x = 1</pre> tail' ELSE '' END AS body,
-    CASE WHEN c.turn = q.qturn THEN substring(c.text, 1, 60) END AS title,
+    CASE WHEN c.turn = q.qturn THEN c.text END AS title,
     CASE WHEN c.turn = q.qturn THEN CASE c.conv_id % 4 WHEN 0 THEN '<apache-spark><scala>'
       WHEN 1 THEN '<pyspark-sql>' WHEN 2 THEN '<java>' ELSE '' END END AS tags,
     CASE WHEN c.turn = q.qturn THEN CAST(c.conv_id % 5 AS INT) END AS "answerCount",
@@ -56,7 +56,7 @@ posts AS (
       AS "commentCount",
     CASE WHEN c.turn = q.qturn AND c.conv_id % 3 = 0 THEN CAST(c.conv_id % 7 AS INT) END
       AS "favoriteCount"
-  FROM conversations c JOIN first_turn q ON c.conv_id = q.conv_id
+  FROM conversations c LEFT JOIN first_turn q ON c.conv_id = q.conv_id
 )"""
 TAGGED = " OR ".join(f"contains(tags, '{t}')" for t in SPARK_TAGS)
 ASKED = f"""{POSTS},
@@ -226,7 +226,9 @@ vocabulary AS (
 
 WEIGHTS = """
 sizes AS (
-  SELECT vec_id AS id, list_transform(embedding[1:{k}], lambda x: abs(CAST(x AS DOUBLE))) AS v
+  SELECT vec_id AS id, list_transform(range({k}), lambda t: list_sum(list_transform(
+      list_filter(embedding, lambda x, i: (i - 1) % {k} = t), lambda x: abs(CAST(x AS DOUBLE))
+    ))) AS v
   FROM embeddings
 ),
 td AS (

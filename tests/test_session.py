@@ -2,6 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from checks.folders import own_folder
 from threadmine import session
 
 
@@ -30,12 +31,21 @@ def test_configured_folder_is_used():
     assert spark.sparkContext.folder == "hdfs://shared/tmp/"
 
 
-def test_own_folder_only_for_local_sessions():
+def test_no_folder_is_an_error():
+    for master in ("local[2]", "yarn"):
+        with pytest.raises(ValueError):
+            session.shared_dir(stub(master))
+
+
+def test_checks_make_a_folder_for_local_sessions_only():
     spark = stub("local[2]")
+    own_folder(spark)
     folder = session.shared_dir(spark)
+    own_folder(spark)
     assert folder and session.shared_dir(spark) == folder
-    with pytest.raises(ValueError):
-        session.shared_dir(stub("yarn"))
+    cluster = stub("yarn")
+    own_folder(cluster)
+    assert cluster.sparkContext.folder is None
 
 
 def test_checkpoints_work(spark):

@@ -22,8 +22,8 @@ def top_documents(distributions: DataFrame, n: int = 10) -> DataFrame:
 
 
 def with_titles(top: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Add ``title``. ``top`` is a report (topics times ranks), so it may be broadcast."""
-    wanted = F.broadcast(top.select("id").distinct())
+    """Add ``title``. Spark itself chooses to broadcast the ids of ``top`` if they are few."""
+    wanted = top.select("id").distinct()
     titles = corpus_heads(corpus).select("id", "title").join(wanted, "id", "left_semi")
     return top.join(titles, "id", "left").select("topic", "rank", "id", "title", "weight")
 

@@ -31,13 +31,6 @@ def spread_join(
     return ranged.join(repeated, [*on, "_range"], how).drop("_range")
 
 
-def over_all_cores(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer splits than cores (a single gzip file, a table
-    of one row group) over all cores. Any larger input is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 @dataclass(frozen=True)
 class KeySet:
     """A set of keys: literals while they are few, otherwise a checkpointed table."""

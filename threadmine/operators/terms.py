@@ -9,7 +9,6 @@ from threadmine.functions.text import word_rows
 from threadmine.operators.corpus import corpus_heads
 
 MIN_DOCUMENTS = 3
-VOCABULARY_LIMIT = 1 << 18
 
 
 def corpus_size(corpus: DataFrame) -> DataFrame:
@@ -81,18 +80,19 @@ def term_statistics(corpus: DataFrame, words: str = "removed") -> DataFrame:
 
 
 def vocabulary(
-    corpus: DataFrame, min_documents: int = MIN_DOCUMENTS, limit: int = VOCABULARY_LIMIT,
+    corpus: DataFrame, min_documents: int = MIN_DOCUMENTS, limit: int | None = None,
     words: str = "removed",
 ) -> DataFrame:
-    """``(term, count)``: the ``limit`` most frequent of the terms common enough to model."""
+    """``(term, count)``, most frequent first: all terms that are common enough to model, or
+    the first ``limit`` of them."""
     common = term_statistics(corpus, words).filter(F.col("documents") >= min_documents)
-    return common.select("term", "count").orderBy(F.desc("count"), "term").limit(limit)
+    ordered = common.select("term", "count").orderBy(F.desc("count"), "term")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def vocabulary_size(
-    corpus: DataFrame, min_documents: int = MIN_DOCUMENTS, limit: int = VOCABULARY_LIMIT,
-    words: str = "removed",
+    corpus: DataFrame, min_documents: int = MIN_DOCUMENTS, words: str = "removed"
 ) -> DataFrame:
     """One row: the number of vocabulary terms."""
     common = document_frequency(corpus, min_documents, words)
-    return common.agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("terms"))
+    return common.agg(F.count(F.lit(1)).alias("terms"))

@@ -13,24 +13,34 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.operators.terms import MIN_DOCUMENTS, VOCABULARY_LIMIT, vocabulary
+from threadmine.operators.terms import MIN_DOCUMENTS, vocabulary, vocabulary_size
 from threadmine.session import ensure_checkpoints, fresh_path
 
 CHECKPOINT_INTERVAL = 50
+#: Terms that one model can hold.
+MODEL_TERMS = 1 << 18
 
 
 # --- vectors ---------------------------------------------------------------------------
 
 
 def fit_vectorizer(
-    corpus: DataFrame, min_documents: int = MIN_DOCUMENTS, limit: int = VOCABULARY_LIMIT,
+    corpus: DataFrame, min_documents: int = MIN_DOCUMENTS, limit: int | None = None,
     words: str = "removed",
 ) -> CountVectorizerModel:
     """Term-count vectorizer whose terms are ordered by count, then alphabetically.
 
-    The vocabulary (at most ``limit`` words) is the only thing that reaches the driver.
+    The vocabulary is the only thing that reaches the driver. A model holds it whole, so more
+    than ``MODEL_TERMS`` terms are an error; ``limit`` asks for the most frequent ones only.
     """
-    terms = [r.term for r in vocabulary(corpus, min_documents, limit, words).collect()]
+    found = vocabulary(corpus, min_documents, limit, words)
+    terms = [r.term for r in found.limit(MODEL_TERMS + 1).collect()]
+    if len(terms) > MODEL_TERMS:
+        size = vocabulary_size(corpus, min_documents, words).first().terms
+        raise ValueError(
+            f"{size} terms are too many for one model ({MODEL_TERMS} at most): "
+            "raise min_documents or give a limit"
+        )
     return CountVectorizerModel.from_vocabulary(
         terms, inputCol=words, outputCol="features", minTF=1.0
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -12,17 +11,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` decides, or else the checkpoint folder the session was given.
-    Only where neither is set (tests, a laptop) is a temporary folder made, and only for a
-    local master.
+    Without either there is no folder that all executors are known to share: an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured:
         return configured
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="threadmine-"))
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return context.getCheckpointDir()
 
 
