@@ -105,6 +105,14 @@ def runs(raw: bytes, window: int = WINDOW) -> np.ndarray:
     return np.concatenate(found, axis=1)
 
 
+def _several(alive: np.ndarray, parted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is not alone in its group, and numbers of the groups, which ``parted`` tells apart."""
+    new = np.ones(len(alive) + 1, bool)
+    new[1:-1] = parted
+    several = ~(new[:-1] & new[1:])
+    return alive[several], np.cumsum(new[:-1])[several]
+
+
 def repeated_windows(
     contexts: list[bytes], keys: np.ndarray, counts: np.ndarray, window: int = WINDOW
 ) -> np.ndarray:
@@ -119,21 +127,25 @@ def repeated_windows(
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     position = np.repeat(begins, counts) + shift
-    _, group = np.unique(np.repeat(keys, counts) + shift, return_inverse=True)
-    alive = np.arange(len(position))
+    key = np.repeat(keys, counts) + shift
+    alive = np.argsort(key, kind="stable")
+    alive, group = _several(alive, np.diff(key[alive]) != 0)
     for depth in range(0, window, 8):
-        own = np.ascontiguousarray(digits[position[alive] + depth]).view(">u8").ravel()
-        if depth + 8 > window:
-            own = own >> np.uint64(8 * (depth + 8 - window))
-        order = np.lexsort((own, group))
-        alive, own, group = alive[order], own[order], group[order]
-        new = np.ones(len(alive) + 1, bool)
-        new[1:-1] = (own[1:] != own[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new[:-1])
-        several = ~(new[:-1] & new[1:])
-        alive, group = alive[several], group[several]
         if not len(alive):
             break
+        own = digits[position[alive] + depth].view(">u8").ravel().astype(np.uint64)
+        if depth + 8 > window:
+            own >>= np.uint64(8 * (depth + 8 - window))
+        # A group with one digit stays as it is.
+        parted = (own[1:] != own[:-1]) & (group[1:] == group[:-1])
+        if not parted.any():
+            continue
+        split = np.zeros(group[-1] + 1, bool)
+        split[group[1:][parted]] = True
+        at = np.flatnonzero(split[group])
+        order = at[np.lexsort((own[at], group[at]))]
+        alive[at], own[at] = alive[order], own[order]
+        alive, group = _several(alive, (own[1:] != own[:-1]) | (group[1:] != group[:-1]))
     flags = np.zeros(len(position), bool)
     flags[alive] = True
     return flags
