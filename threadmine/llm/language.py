@@ -32,7 +32,7 @@ EPOCHS = 4
 RATE = 0.02
 SEED = 5
 #: Segments that are read at a time when predicting.
-AT_ONCE = 2048
+AT_ONCE = 4096
 
 UNKNOWN = "und"
 
@@ -44,6 +44,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _tanh(x: np.ndarray) -> np.ndarray:
+    x *= 2
+    _sigmoid(x)
+    x *= 2
+    x -= 1
+    return x
+
+
 @dataclass
 class Network:
     """Weights: for each direction a row of gate inputs per byte (update, reset, candidate) and
@@ -84,12 +92,15 @@ class Network:
         by_step = np.ascontiguousarray(bytes_.T)
         for d in (0, 1):
             h = np.zeros((n, hidden), np.float32)
+            # Each gate's weights apart, so that all arrays of a step are contiguous.
+            of_update, of_reset, of_new = map(np.ascontiguousarray, np.split(self.inputs[d], 3, 1))
+            to_update, to_reset = map(np.ascontiguousarray, np.split(self.gates[d], 2, 1))
             for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                x = self.inputs[d][by_step[t]]
-                gate = _sigmoid(x[:, : 2 * hidden] + h @ self.gates[d])
-                update, reset = gate[:, :hidden], gate[:, hidden:]
+                own = by_step[t]
+                update = _sigmoid(of_update.take(own, axis=0) + h @ to_update)
+                reset = _sigmoid(of_reset.take(own, axis=0) + h @ to_reset)
                 kept = reset * h
-                new = np.tanh(x[:, 2 * hidden :] + kept @ self.candidate[d])
+                new = _tanh(of_new.take(own, axis=0) + kept @ self.candidate[d])
                 next_ = h + update * (new - h)
                 live = (t < lengths)[:, None]
                 if not live.all():
@@ -105,11 +116,12 @@ class Network:
         return self._softmax(self.states(bytes_, lengths, None))
 
     def _softmax(self, states: np.ndarray) -> np.ndarray:
-        logits = states @ self.output + self.bias
-        logits -= logits.max(axis=-1, keepdims=True)
+        flat = states.reshape(-1, states.shape[-1])
+        logits = self.output.T @ flat.T + self.bias[:, None]  # language, position and row
+        logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=-1, keepdims=True)
-        return logits
+        logits /= logits.sum(axis=0)
+        return np.moveaxis(logits.reshape(-1, *states.shape[:-1]), 0, -1)
 
     def gradients(
         self, bytes_: np.ndarray, lengths: np.ndarray, target: np.ndarray
