@@ -103,8 +103,10 @@ class Network:
                 new = _tanh(of_new.take(own, axis=0) + kept @ self.candidate[d])
                 next_ = h + update * (new - h)
                 live = (t < lengths)[:, None]
-                if not live.all():
-                    next_ = np.where(live, next_, h)
+                # Behind a segment's end the way back has not begun, and the way forth is over:
+                # what stands there then is read by nobody.
+                if d == 1 and not live.all():
+                    next_ *= live
                 if trace is not None:
                     trace.append((d, t, h, update, reset, kept, new, live))
                 h = next_
