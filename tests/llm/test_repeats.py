@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,6 +56,15 @@ def test_report_equals_brute_force(spark):
     assert got == brute(rows, 200)
 
 
+@pytest.mark.parametrize("least", [0, 8])
+def test_hot_anchors_change_nothing(spark, monkeypatch, least):
+    monkeypatch.setattr(repeats, "DRAWN", 1)
+    monkeypatch.setattr(repeats, "HOT_RUNS", least)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in repeats.removal_report(docs).collect()) == brute(rows, 200)
+
+
 def test_texts_without_repeats(spark):
     rows = [(1, "é" * 150 + "tail one"), (2, "head" + "é" * 150), (3, "short"), (4, None)]
     docs = spark.createDataFrame([(k, t, 7) for k, t in rows], "doc_id long, text string, digest int")

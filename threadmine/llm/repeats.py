@@ -12,6 +12,11 @@ fixed size. Runs whose anchor occurs once have no repeated window. Runs that agr
 their bytes are repeated as a whole. Only the others fetch their bytes for the digit passes,
 and only windows with the same anchor at the same place meet there.
 
+An anchor of a widespread passage may hold any share of all runs. Hot anchors, found by a sample
+that decides on the way only and not on the result, are dealt by all the window's bytes instead:
+equal runs, then equal windows, are counted in every task before they are shuffled, and only
+counts above one are joined back to the runs, where adaptive execution splits a skewed key.
+
 Texts are known by their digest, so it does not matter how ids or rows repeat.
 
 Defined results: a null text is empty; a text shorter than the window has nothing removed;
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmine.session import ensure_checkpoints
+from threadmine.session import ensure_checkpoints, fresh_path
 
 WINDOW = 200
 GRAM = 64  # a power of two, at most WINDOW
@@ -38,6 +43,12 @@ GRAM = 64  # a power of two, at most WINDOW
 BLOCK = 1 << 16
 #: Bytes of contexts whose windows are sorted at a time, unless one anchor has more.
 SORTED = 1 << 20
+#: One in so many runs is drawn to find hot anchors. Hot is one of over ``HOT_RUNS`` runs and over
+#: a ``HOT_ANCHORS``-th of all, by the sample. So there are fewer than ``HOT_ANCHORS``, at 8 bytes
+#: each, whatever the input: this bounds what is broadcast.
+DRAWN = 32
+HOT_RUNS = 1 << 14
+HOT_ANCHORS = 1 << 20
 
 _rng = np.random.default_rng(2024)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -189,7 +200,8 @@ def _all_runs(rows: DataFrame, window: int) -> DataFrame:
 
 def _sorted_runs(found: DataFrame) -> DataFrame:
     """Runs whose anchor occurs again, as ``kind``: 0, repeated as a whole; 1, to be sorted;
-    2, one of the repeated ones, to be sorted with those."""
+    2, one of the repeated ones, to be sorted with those. Kinds 3 and 4 are 1 and 2 where the
+    anchor is hot."""
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         anchor, whole = rows["anchor"].to_numpy(), rows["whole"].to_numpy()
@@ -229,11 +241,82 @@ def _sorted_runs(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(work, f"{_RUN}, kind int")
 
 
+def _hot_anchors(found: DataFrame) -> DataFrame:
+    """Column ``anchor``: fewer than ``HOT_ANCHORS`` rows."""
+    drawn = found.sample(1 / DRAWN, seed=11).groupBy("anchor").count().checkpoint()
+    total = drawn.agg(F.sum("count")).first()[0] or 0
+    hot = F.col("count") > max(HOT_RUNS / DRAWN, total / HOT_ANCHORS)
+    return drawn.filter(hot).select("anchor")
+
+
+def _hot_runs(found: DataFrame) -> DataFrame:
+    """As ``_sorted_runs``, for hot anchors: equal runs are counted before they are shuffled."""
+    wholes = found.groupBy("anchor", "whole").agg(
+        F.count("*").alias("n"), F.min(F.struct("digest", "start", "count", "place")).alias("run")
+    )
+    several = wholes.filter("n > 1").select("anchor", "whole")
+    copied = found.join(several, ["anchor", "whole"], "left_semi")
+    others = wholes.select(
+        "run.*", "anchor", "whole", F.when(F.col("n") > 1, 4).otherwise(3).alias("kind")
+    )
+    return copied.withColumn("kind", F.lit(0)).unionByName(others)
+
+
+def window_hashes(context: bytes, count: int, place: int, window: int = WINDOW) -> np.ndarray:
+    """Hashes of the ``count`` windows of a run, each of its bytes and its anchor's place."""
+    values = _VALUES[np.frombuffer(context, np.uint8)]
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _UP[: len(values)], out=total[1:])
+    first = np.arange(count)
+    whole = (total[first + window] - total[first]) * _DOWN[:count]
+    return _mixed(whole + _mixed((place - first).astype(np.uint64))).view(np.int64)
+
+
+def _hot_out(contexts: DataFrame, window: int) -> DataFrame:
+    """As ``_sorted_out``, for hot anchors: equal windows are counted before they are shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                counts = some.column("count").to_numpy()
+                runs_of = zip(
+                    some.column("context").to_pylist(),
+                    counts.tolist(),
+                    some.column("place").to_pylist(),
+                    strict=True,
+                )
+                hashes = [window_hashes(c, n, p, window) for c, n, p in runs_of]
+                owner = np.repeat(np.arange(len(counts)), counts)
+                shift = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+                held = some.select(["digest", "anchor", "start", "kind"]).take(pa.array(owner))
+                yield pa.record_batch(
+                    [
+                        *held.columns,
+                        pa.array(np.concatenate(hashes)),
+                        pa.array(held.column("start").to_numpy() + shift),
+                    ],
+                    ["digest", "anchor", "run", "kind", "whole", "start"],
+                )
+
+    windows = contexts.mapInArrow(
+        work, "digest binary, anchor long, run long, kind int, whole long, start long"
+    )
+    repeated = windows.groupBy("anchor", "whole").count().filter("count > 1")
+    several = repeated.select("anchor", "whole")
+    hits = windows.filter("kind = 3").join(several, ["anchor", "whole"], "left_semi")
+    # Windows of one run share their anchor, so they cover one stretch.
+    return (
+        hits.groupBy("digest", "run")
+        .agg(F.min("start").alias("start"), (F.max("start") + window).alias("end"))
+        .drop("run")
+    )
+
+
 def _contexts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Runs of kinds 1 and 2 with their bytes."""
+    """Runs with their bytes."""
     lists = (
-        wanted.filter("kind > 0")
-        .groupBy("digest")
+        wanted.groupBy("digest")
         .agg(F.collect_list(F.struct("anchor", "start", "count", "place", "kind")).alias("runs"))
     )
 
@@ -323,15 +406,37 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _at_rest(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, which takes less room than a checkpoint."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def repeated_stretches(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """``digest`` and ``stretches``: per text, the byte ranges that repeated windows cover."""
     ensure_checkpoints(rows.sparkSession)
-    settled = _sorted_runs(_all_runs(rows, window)).checkpoint()
+    found = _at_rest(_all_runs(rows, window), "runs")
+    hot = F.broadcast(_hot_anchors(found))  # bounded, see HOT_ANCHORS
+    usual = found.join(hot, "anchor", "left_anti").select(*found.columns)
+    kinds = _sorted_runs(usual).unionByName(_hot_runs(found.join(hot, "anchor", "left_semi")))
+    # What is repeated as a whole needs its anchor no longer.
+    settled = _at_rest(
+        kinds.select(
+            "digest",
+            "start",
+            "count",
+            "kind",
+            *[F.when(F.col("kind") > 0, F.col(c)).alias(c) for c in ("anchor", "place")],
+        ),
+        "settled",
+    )
     whole = settled.filter("kind = 0").select(
         "digest", "start", (F.col("start") + F.col("count") + window - 1).alias("end")
     )
-    sorted_out = _sorted_out(_contexts(rows, settled, window), window)
-    covered = whole.distinct().unionByName(sorted_out)
+    sorted_out = _sorted_out(_contexts(rows, settled.filter("kind IN (1, 2)"), window), window)
+    of_hot = _contexts(rows, settled.filter("kind IN (3, 4)"), window).checkpoint()
+    covered = whole.distinct().unionByName(sorted_out).unionByName(_hot_out(of_hot, window))
     return covered.groupBy("digest").agg(
         F.collect_list(F.struct("start", "end")).alias("stretches")
     )
