@@ -435,7 +435,8 @@ def repeated_stretches(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         "digest", "start", (F.col("start") + F.col("count") + window - 1).alias("end")
     )
     sorted_out = _sorted_out(_contexts(rows, settled.filter("kind IN (1, 2)"), window), window)
-    of_hot = _contexts(rows, settled.filter("kind IN (3, 4)"), window).checkpoint()
+    # No checkpoint: in one query with the others it reads the same shuffle of texts.
+    of_hot = _contexts(rows, settled.filter("kind IN (3, 4)"), window)
     covered = whole.distinct().unionByName(sorted_out).unionByName(_hot_out(of_hot, window))
     return covered.groupBy("digest").agg(
         F.collect_list(F.struct("start", "end")).alias("stretches")
