@@ -5,6 +5,7 @@ import pytest
 from checks import fixtures as fx
 from threadmine.operators import selection
 from threadmine.sources import posts as dump
+from threadmine.sources.corpus_files import write_corpus
 from threadmine.sources.wordlists import read_stop_words
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +104,17 @@ def test_stop_word_file(spark, tmp_path):
     (tmp_path / "words.txt").write_bytes(b"the\r\n a \r\nthe\r\n\r\nwould\r\n")
     got = read_stop_words(spark, str(tmp_path / "words.txt"))
     assert sorted(r.word for r in got.collect()) == ["a", "the", "would"]
+
+
+def test_staging_writes_years_not_tasks(spark, tmp_path):
+    posts = fx.posts(spark, SF).repartition(6)
+    dump.stage_posts(posts, str(tmp_path / "staged"))
+    files = [f.parent.name for f in (tmp_path / "staged").glob("*/part-*")]
+    assert files and len(files) == len(set(files))
+
+
+def test_few_corpus_rows_make_few_files(spark, tmp_path):
+    corpus = spark.range(1000).repartition(8).filter("id % 10 = 0")
+    write_corpus(corpus, str(tmp_path / "corpus"))
+    assert len(list((tmp_path / "corpus").glob("part-*"))) == 1
+    assert spark.read.parquet(str(tmp_path / "corpus")).count() == 100

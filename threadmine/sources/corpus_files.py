@@ -9,7 +9,8 @@ from threadmine.functions.text import join_tokens
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
     """Replace the parquet table at ``path``."""
-    corpus.write.mode("overwrite").parquet(path)
+    # A corpus keeps few of the posts: rebalanced, or every task of the scan writes its own file.
+    corpus.hint("rebalance").write.mode("overwrite").parquet(path)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

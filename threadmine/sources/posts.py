@@ -123,6 +123,7 @@ def stage_posts(posts: DataFrame, path: str) -> DataFrame:
 
     Every corpus then scans only the columns and row groups it needs instead of the XML.
     """
+    # Rebalanced, or every task would write a file for each year.
     by_year = posts.withColumn("creationYear", F.year("creationDate"))
-    by_year.write.mode("overwrite").partitionBy("creationYear").parquet(path)
+    by_year.hint("rebalance", "creationYear").write.mode("overwrite").partitionBy("creationYear").parquet(path)
     return posts.sparkSession.read.parquet(path).drop("creationYear")
