@@ -59,3 +59,46 @@ def test_only_built_in_functions(spark):
 
 def test_empty(spark):
     assert quotes.reply_order(frame(spark, [])).count() == 0
+
+
+def test_parts_of_messages_are_linked(spark):
+    first = "Alpha one.\nAlpha two.\n\nBeta one is long.\nBeta two.\n \nGamma."
+    rows = [
+        (1, 0, "user", first),
+        (1, 1, "user", "Something else"),
+        (1, 2, "user", "> beta one is  LONG.\n> Beta two.\nOne paragraph."),
+        (1, 3, "user", "> Alpha two.\nOne line."),
+        # full quotation, parted by blank lines without a mark
+        (1, 4, "user", "> Alpha one.\n> Alpha two.\n\n> Beta one is long.\n> Beta two.\n\n> Gamma.\nAll."),
+        # answers between the quoted paragraphs
+        (1, 5, "user", "> Alpha one.\n> Alpha two.\nyes\n> Gamma.\nno\n> never written\nwhat?"),
+        # lines across two paragraphs, and one that was never written
+        (1, 6, "user", "> Alpha two.\n>\n> Beta one is long.\n> unknown\nMixed."),
+        # more characters of turn 0 than of turn 1; blank quoted lines are nothing
+        (1, 7, "user", "> Something else\n>\n> Beta one is long.\n> Beta two.\nMost."),
+        # a paragraph of its own is found in the message that quoted it and wrote it again
+        (1, 8, "user", "Gamma."),
+        (1, 9, "user", "> Gamma.\nLatest."),
+        # the quoted text stands in parts of the own text
+        (1, 10, "user", "left\n> Gamma.\nright"),
+        (1, 11, "user", "> left\n> right\nBoth."),
+        (2, 0, "user", "Delta"),
+        (2, 1, "user", "> Alpha two.\nOther conversation."),
+    ]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_quotes, r.n_linked) for r in quotes.reply_order(frame(spark, rows)).collect()}
+    assert got == {
+        (1, 0): (None, 0, 0),
+        (1, 1): (0, 0, 0),
+        (1, 2): (0, 1, 1),
+        (1, 3): (0, 1, 1),
+        (1, 4): (0, 3, 3),
+        (1, 5): (0, 3, 2),
+        (1, 6): (0, 1, 1),
+        (1, 7): (0, 1, 1),
+        (1, 8): (7, 0, 0),
+        (1, 9): (8, 1, 1),
+        (1, 10): (8, 1, 1),
+        (1, 11): (10, 1, 1),
+        (2, 0): (None, 0, 0),
+        (2, 1): (0, 1, 0),
+    }

@@ -1,15 +1,17 @@
 """Conversations in reply order, with quotations linked to what they quote.
 
 A line's quote level is the number of its leading ``>`` marks. Lines in a row with the same
-level are a passage. A quoted passage, normalised (lower case, white space as single spaces)
-and hashed, is looked up among the passages that other messages of the conversation wrote
-themselves, at level 0; the message it comes from is the latest earlier one that has it. A
-message answers the one that it quotes most of, at the outermost level that was found, and
-without any link the message before it. What is left of a message without its quoted lines is
+level are a passage. A quoted passage is looked up, normalised (lower case, white space as
+single spaces) and hashed, among what other messages of the conversation wrote themselves, at
+level 0: whole passages, paragraphs parted by blank lines, and lines. What is not found as a
+whole is looked up by its paragraphs, and those that are not found by their lines; runs of lines
+that are neither are found line by line. The message that a unit comes from is the latest
+earlier one that has it. A message answers the one that it quotes most characters of, at the
+outermost level that was found, and without any link the message before it. What is left of a message without its quoted lines is
 its text; messages are put in reply order, parents before their answers.
 
-Everything is a DataFrame expression. Joins and windows run over a conversation and a hash, or
-a conversation and a span of ``SPAN`` turns, so no conversation of any length is one group.
+Everything is a DataFrame expression. Joins and windows run over a hash and a span, or a
+conversation and a span of ``SPAN`` turns, so no conversation of any length is one group.
 
 Defined results: a null text has no passages and stays null; a message of quotations alone has
 an empty text; blank passages are never looked up; rows with a null conversation or turn have
@@ -68,35 +70,73 @@ def passages_of(lines: Column) -> Column:
     return F.aggregate(lines, F.array().cast(kind), join)
 
 
-def _sources(messages: DataFrame) -> DataFrame:
-    """Quoted passages with the turn they were first written in, as far as it is found:
-    ``conv_id``, ``turn``, ``level``, ``chars``, ``source``."""
+def units_of(passage: Column) -> Column:
+    """What a passage can be linked by: array of (``kind``, ``run``, ``para``, ``words``), the
+    whole run (0), its paragraphs (1) and their lines (2), normalised, blank ones left out.
+    Paragraphs and lines that are the whole of what they stand in are left out too."""
+    run = normalised(passage)
+    unit = lambda kind, para, words: F.struct(
+        F.lit(kind).alias("kind"), run.alias("run"), para.alias("para"), words.alias("words")
+    )
+    paragraphs = F.split(passage, "\\n\\s*\\n")
+    lines = lambda para: F.transform(
+        F.split(para, "\n"), lambda x: unit(2, normalised(para), normalised(x))
+    )
+    found = F.concat(
+        F.array(unit(0, run, run)),
+        F.transform(paragraphs, lambda x: unit(1, normalised(x), normalised(x))),
+        F.flatten(F.transform(paragraphs, lines)),
+    )
+    larger = lambda x: F.when(x["kind"] == 1, x["run"]).when(x["kind"] == 2, x["para"])
+    return F.filter(
+        found, lambda x: (x["words"] != "") & ((x["kind"] == 0) | (x["words"] != larger(x)))
+    )
+
+
+def _sources(messages: DataFrame, span: int) -> DataFrame:
+    """Units of quoted passages with the turn they were last written in before, as far as it is
+    found: ``conv_id``, ``turn``, ``level``, ``run``, ``unit``, ``chars``, ``source``. A unit
+    inside a linked one has no row."""
     passages = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
         "conv_id", "turn", F.explode("passages").alias("p")
     )
-    hashed = (
-        passages.select("conv_id", "turn", "p.level", normalised(F.col("p.passage")).alias("words"))
-        .filter("words <> ''")
-        .select(
-            "conv_id",
-            "turn",
-            "level",
-            F.length("words").alias("chars"),
-            F.sha2("words", 256).alias("passage_hash"),
-        )
+    # The conversation is part of the hash, so that a unit is one key.
+    mark = lambda words: F.unhex(
+        F.sha2(F.concat_ws("\n", F.col("conv_id").cast("string"), words), 256)
+    )
+    units = passages.select(
+        "conv_id", "turn", "p.level", F.explode(units_of(F.col("p.passage"))).alias("u")
+    ).select(
+        "conv_id",
+        "turn",
+        "level",
+        F.when(F.col("level") > 0, F.col("u.kind")).alias("kind"),
+        F.when(F.col("level") > 0, mark(F.col("u.run"))).alias("run"),
+        F.when(F.col("level") > 0, mark(F.col("u.para"))).alias("para"),
+        mark(F.col("u.words")).alias("unit"),
+        F.length("u.words").alias("chars"),
+        # Within a turn quotations come first: a message does not quote itself.
+        (F.col("level") == 0).cast("int").alias("own"),
+        F.when(F.col("level") == 0, F.col("turn")).alias("written"),
+    )
+    looked_up = carry_last(units.distinct(), "unit", ["turn", "own"], "written", "source", span)
+    inside_run = W.partitionBy("conv_id", "turn", "level", "run")
+    inside_para = W.partitionBy("conv_id", "turn", "level", "run", "para")
+    linked = F.col("source").isNotNull()
+    return (
+        looked_up.filter("own = 0")
+        .withColumn("in_run", F.max(linked & (F.col("kind") == 0)).over(inside_run))
+        .withColumn("in_para", F.max(linked & (F.col("kind") == 1)).over(inside_para))
+        .filter("kind = 0 or not in_run and (kind = 1 or not in_para)")
+        .select("conv_id", "turn", "level", "run", "unit", "chars", "source")
         .distinct()
     )
-    # Within a turn quotations come first: a message does not quote itself.
-    order = W.partitionBy("conv_id", "passage_hash").orderBy("turn", F.desc("level"))
-    written = F.when(F.col("level") == 0, F.col("turn"))
-    latest = F.last(written, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    return hashed.withColumn("source", latest).filter("level > 0")
 
 
 def reply_order(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     """One row per message: its text without quotations, ``parent_turn`` (what it answers),
-    ``n_quotes`` and ``n_linked`` (different quoted passages, and those whose source was
-    found), and ``position``: from 0 in its conversation, by parent and then by turn, so that
+    ``n_quotes`` and ``n_linked`` (different quoted passages, and those of which the whole or
+    a part was found), and ``position``: from 0 in its conversation, by parent and then by turn, so that
     the answers to a message stand together and after it.
     """
     messages = conversations.select(
@@ -105,18 +145,24 @@ def reply_order(conversations: DataFrame, span: int = SPAN) -> DataFrame:
         "role",
         "text",
     ).withColumn("passages", passages_of(lines_of(F.col("text"))))
-    found = _sources(messages)
-    sums = found.groupBy("conv_id", "turn", "level", "source").agg(
-        F.sum("chars").alias("chars"), F.count("*").alias("n")
+    found = _sources(messages, span)
+    # One row per passage: whether it is linked, and its linked units.
+    runs = found.groupBy("conv_id", "turn", "level", "run").agg(
+        F.max(F.col("source").isNotNull()).cast("int").alias("linked")
     )
-    best = F.when(
-        F.col("source").isNotNull(), F.struct(-F.col("level"), F.col("chars"), F.col("source"))
+    counts = runs.groupBy("conv_id", "turn").agg(
+        F.count("*").alias("n_quotes"), F.sum("linked").alias("n_linked")
     )
-    links = sums.groupBy("conv_id", "turn").agg(
-        F.max_by("source", best).alias("quoted_turn"),
-        F.sum("n").alias("n_quotes"),
-        F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"),
+    sums = (
+        found.filter("source is not null")
+        .select("conv_id", "turn", "level", "unit", "chars", "source")
+        .distinct()
+        .groupBy("conv_id", "turn", "level", "source")
+        .agg(F.sum("chars").alias("chars"))
     )
+    best = F.struct(-F.col("level"), F.col("chars"), F.col("source"))
+    quoted = sums.groupBy("conv_id", "turn").agg(F.max_by("source", best).alias("quoted_turn"))
+    links = counts.join(quoted, ["conv_id", "turn"], "left")
     turns = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn")
     turns = carry_last(turns.distinct(), "conv_id", ["turn"], "turn", "previous_turn", span)
     parents = turns.join(links, ["conv_id", "turn"], "left").select(
