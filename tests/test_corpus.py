@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from threadmine.operators import corpus as corpora
 from threadmine.operators import selection, skew, terms, topics
 from threadmine.plans.corpora import build_corpora
+from threadmine.sources.corpus_files import write_corpus_csv
 
 YEAR = datetime.datetime(2015, 1, 1)
 SCHEMA = (
@@ -162,3 +163,27 @@ def test_domain_words(spark):
     corpus = spark.createDataFrame([(1, ["spark", "join", "data"])], "id INT, document ARRAY<STRING>")
     assert corpora.without_domain_words(corpus).first().removed == ["join"]
     assert corpora.without_domain_words(corpus, ["join"]).first().removed == ["spark", "data"]
+
+
+def test_one_row_per_question_at_every_size(spark, tmp_path):
+    n = 2_001
+    own = ["word" + str(i).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(n)]
+    rows = [question(1, "Joining tables", "many"), question(4, "Counting", "rows")]
+    rows += [answer(10 + i, 1, f"{word} <b>x") for i, word in enumerate(own)] + [answer(9000, 4, "two rows")]
+    posts = spark.createDataFrame(rows, SCHEMA)
+    both = selection.tagged_questions(posts), selection.answers(posts)
+    unstemmed = corpora.TextPrep(stem=False)
+    whole = corpora.question_answer_corpus(*both, unstemmed)
+    assert tuple(whole.columns) == corpora.CORPUS_COLUMNS
+    found = documents(whole)
+    assert whole.count() == len(found) == 2
+    assert [w for w in found[1] if w.startswith("word")] == own
+    assert corpora.answer_corpus(*both).count() == 2
+
+    spread = corpora.spread_question_answer_corpus(*both, unstemmed)
+    listed = sorted((r.id, r.part or 0, r.document) for r in spread.collect())
+    assert len(listed) == n + 2
+    assert [w for id_, _, words in listed if id_ == 1 for w in words] == found[1]
+    assert corpora.spread_answer_corpus(*both).count() == n + 1
+    write_corpus_csv(spread, str(tmp_path / "csv"))
+    assert len(spark.read.csv(str(tmp_path / "csv")).columns) == 3

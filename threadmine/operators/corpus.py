@@ -63,13 +63,16 @@ def question_corpus(questions: DataFrame, prep: TextPrep = TextPrep()) -> DataFr
 
 
 def _answer_texts(
-    questions: DataFrame, answers: DataFrame, prep: TextPrep, max_answers: int, per_answer: bool
+    questions: DataFrame, answers: DataFrame, prep: TextPrep, max_answers: int | None,
+    per_answer: bool,
 ):
     """Cleaned answer texts: whole ones, those in parts (or None), and the heavy questions."""
     answers = answers.select("id", "parentId", "body")
+    clean = cleaned_each if per_answer else cleaned_whole
+    if max_answers is None:
+        return clean(answers_of(answers, questions), prep.control_to_space), None, None
     heavy = heavy_keys(answers, "parentId", max_answers)
     ordinary = answers_of(heavy.drop(answers, "parentId", "id"), questions)
-    clean = cleaned_each if per_answer else cleaned_whole
     whole = clean(ordinary, prep.control_to_space)
     if heavy.empty:
         return whole, None, heavy
@@ -89,12 +92,12 @@ def _answer_texts(
 
 def answer_corpus(
     questions: DataFrame, answers: DataFrame, prep: TextPrep = TextPrep(),
-    max_answers: int = MAX_ANSWERS, per_answer: bool = False,
+    max_answers: int | None = None, per_answer: bool = False,
 ) -> DataFrame:
     """A: ``(id, part, title, cleaned)``, the cleaned answers of every answered question.
 
-    ``part`` is null where one row holds all answers. A question with more than
-    ``max_answers`` of them has one row per answer, ``part`` being the answer's id.
+    One row per question, however many answers it has, ``part`` being null. With
+    ``max_answers`` the result is that of :func:`spread_answer_corpus`.
     """
     whole, parts, heavy = _answer_texts(questions, answers, prep, max_answers, per_answer)
     titles = questions.select("id", "title")
@@ -108,26 +111,25 @@ def answer_corpus(
 
 def question_answer_corpus(
     questions: DataFrame, answers: DataFrame, prep: TextPrep = TextPrep(),
-    max_answers: int = MAX_ANSWERS, per_answer: bool = False,
+    max_answers: int | None = None, per_answer: bool = False,
 ) -> DataFrame:
     """QA: the document is the question followed by all its answers.
 
-    Columns as in the other corpora, and ``part``: null for a document in one row. A
-    question with more than ``max_answers`` answers is spread over rows: part 0 is the
-    question with all its columns, every other part is the answer of that id and has only
-    ``id``, ``part`` and ``document``. Term counts, vectors and models add the parts of a
-    document up again.
+    Columns as in the other corpora: one row per question, however many answers it has. With ``max_answers`` the result is that of
+    :func:`spread_question_answer_corpus`.
     """
     whole, parts, heavy = _answer_texts(questions, answers, prep, max_answers, per_answer)
     asked = questions.withColumn("question_text", prep.clean(title_and_body()))
     together = F.concat("question_text", F.lit(" "), F.coalesce("cleaned", F.lit("")))
     one_row = (
-        heavy.drop(asked, "id", "id")
+        (asked if heavy is None else heavy.drop(asked, "id", "id"))
         .join(whole, "id", "left")
-        .withColumn("part", F.lit(None).cast("bigint"))
         .withColumn("document", prep.document(together))
-        .select(*CORPUS_COLUMNS, "part")
+        .select(*CORPUS_COLUMNS)
     )
+    if heavy is None:
+        return one_row
+    one_row = one_row.withColumn("part", F.lit(None).cast("bigint"))
     if parts is None:
         return one_row
     heads = (
@@ -140,6 +142,26 @@ def question_answer_corpus(
     return one_row.unionByName(heads).unionByName(rest, allowMissingColumns=True)
 
 
+def spread_answer_corpus(
+    questions: DataFrame, answers: DataFrame, prep: TextPrep = TextPrep(),
+    max_answers: int = MAX_ANSWERS, per_answer: bool = False,
+) -> DataFrame:
+    """As :func:`answer_corpus`, but a question with more than ``max_answers`` answers has one
+    row per answer, ``part`` being the answer's id; ``part`` is null in other rows."""
+    return answer_corpus(questions, answers, prep, max_answers, per_answer)
+
+
+def spread_question_answer_corpus(
+    questions: DataFrame, answers: DataFrame, prep: TextPrep = TextPrep(),
+    max_answers: int = MAX_ANSWERS, per_answer: bool = False,
+) -> DataFrame:
+    """As :func:`question_answer_corpus`, but a question with more than ``max_answers`` answers
+    is spread over rows: part 0 is the question with all its columns, every other part is the
+    answer of that id and has only ``id``, ``part`` and ``document``. Term counts, vectors and
+    models add the parts of a document up again."""
+    return question_answer_corpus(questions, answers, prep, max_answers, per_answer)
+
+
 def corpus_heads(corpus: DataFrame) -> DataFrame:
     """One row per document: leaves out the further parts of spread documents."""
     if "part" not in corpus.columns:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from threadmine.functions.text import SPARK_TAGS
 from threadmine.operators.corpus import (
-    MAX_ANSWERS,
     TextPrep,
     question_answer_corpus,
     question_corpus,
@@ -23,9 +22,10 @@ KINDS = ("QT", "Q", "QA")
 def corpora(
     posts: DataFrame, prep: TextPrep = TextPrep(), kinds: Iterable[str] = KINDS,
     needles: Iterable[str] = SPARK_TAGS, first_year: int = FIRST_YEAR,
-    max_answers: int = MAX_ANSWERS, per_answer: bool = False,
+    max_answers: int | None = None, per_answer: bool = False,
 ) -> dict[str, DataFrame]:
-    """The requested corpora as DataFrames, each independent of the others."""
+    """The requested corpora as DataFrames, each independent of the others. With ``max_answers``
+    QA is spread: see ``spread_question_answer_corpus``."""
     recent = since_year(posts, first_year)
     asked = tagged_questions(recent, tuple(needles))
     out = {}

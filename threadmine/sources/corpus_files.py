@@ -18,5 +18,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_corpus_csv(corpus: DataFrame, path: str) -> None:
-    """Replace the CSV folder at ``path`` with ``id,doc`` lines, tokens joined by spaces."""
-    corpus.select("id", join_tokens("document").alias("doc")).write.mode("overwrite").csv(path)
+    """Replace the CSV folder at ``path`` with ``id,doc`` lines, tokens joined by spaces; a
+    corpus with parts has ``id,part,doc``."""
+    keys = [c for c in ("id", "part") if c in corpus.columns]
+    corpus.select(*keys, join_tokens("document").alias("doc")).write.mode("overwrite").csv(path)
