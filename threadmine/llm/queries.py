@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from threadmine.llm import (
+    exact,
     language,
     minhash,
     mixing,
@@ -91,3 +92,17 @@ def op9_minhash(spark, sf_dir):
 @query
 def op10_recurrent_language_id(spark, sf_dir):
     return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_tree_merged_runs(spark, sf_dir):
+    return exact.duplicate_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_tree_merged_runs"] = r"""WITH normal AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER same = 1 AS kept, sha256(body) AS text_sha256
+FROM normal WINDOW same AS (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST)"""
