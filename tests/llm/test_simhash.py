@@ -130,3 +130,11 @@ def test_components_of_a_path_and_a_star(spark):
     assert set(got) == {*range(100, 141), *range(7, 60)}
     assert len({got[i] for i in range(100, 141)}) == len({got[i] for i in range(7, 60)}) == 1
     assert got[100] in range(100, 141) and got[7] in range(7, 60)
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(5, "alpha beta gamma delta"), (5, "other words stand here now"), (6, "alpha beta gamma delta"),
+            (7, "other words stand here now"), (5, "alpha beta gamma delta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.without_near_duplicates(docs).collect()
+    assert sorted(tuple(r) for r in kept) == sorted({rows[0], rows[1]})

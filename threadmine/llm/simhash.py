@@ -66,16 +66,22 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``bits`` (the fingerprint as a signed long) of every row."""
+    """``doc_id``, ``bits`` (the fingerprint as a signed long) and ``text_key`` (a hash of the
+    text) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
             bits = np.array(found, np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(bits)], ["doc_id", "bits"])
+            columns = [batch.column(0), pa.array(bits), batch.column(2)]
+            yield pa.record_batch(columns, ["doc_id", "bits", "text_key"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text))
-    return wanted.mapInArrow(work, "doc_id long, bits long")
+    wanted = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col(text),
+        F.xxhash64(text).alias("text_key"),
+    )
+    return wanted.mapInArrow(work, "doc_id long, bits long, text_key long")
 
 
 def _segment(i: int) -> Column:
@@ -219,8 +225,8 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return sorted_rows.mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row's ``fingerprint`` and the least id reachable over linked fingerprints."""
+def _components(docs: DataFrame, text: str) -> DataFrame:
+    """Rows of :func:`fingerprints` with the least id reachable over linked fingerprints."""
     ensure_checkpoints(docs.sparkSession)
     marked = fingerprints(docs, text).checkpoint()
     nodes = marked.groupBy("bits").agg(F.min("doc_id").alias("least_id")).checkpoint()
@@ -229,8 +235,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         "bits", "least_id", F.coalesce("component", "bits").alias("component")
     )
     least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = classes.join(least, "component").select("bits", "component_id")
-    return marked.join(named, "bits").select(
+    named = classes.join(least, "component").select("bits", "component", "component_id")
+    return marked.join(named, "bits")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Every row's ``fingerprint`` and the least id reachable over linked fingerprints."""
+    return _components(docs, text).select(
         "doc_id",
         F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -240,13 +251,24 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def without_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` with one document of each component: that with the least id.
 
-    Rows without an id are no documents to choose among: they all stay. Rows that repeat the
-    least id stay once.
+    Rows without an id are no documents to choose among: they all stay. Of rows that share the
+    least id, one stays: rows with one text are interchangeable, of several texts that with the
+    least hash stays.
     """
-    own = "simhash_row"
-    chosen = near_duplicates(docs.select("doc_id", text), text).select(
-        "doc_id", (F.col("doc_id") == F.col("component_id")).alias(own)
+    found = _components(docs.select("doc_id", text), text)
+    keep = (
+        found.filter(F.col("doc_id") == F.col("component_id"))
+        .groupBy("component")
+        .agg(F.min(F.struct("component_id", "text_key")).alias("first"))
+        .select(
+            F.col("first.component_id").alias("kept_id"), F.col("first.text_key").alias("kept_key")
+        )
+    )
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("kept_id"),
+        F.xxhash64(text).alias("kept_key"),
     )
-    keep = chosen.filter(own).select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    named = whole.filter(F.col("kept_id").isNotNull()).dropDuplicates(["kept_id", "kept_key"])
+    kept = named.join(keep, ["kept_id", "kept_key"], "left_semi")
+    return kept.select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
