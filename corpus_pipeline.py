@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadmine.llm import minhash, mixing, packing, repeats, toxicity
+from threadmine.llm import mixing, packing, repeats, simhash, toxicity
 from threadmine.llm.queries import TOKENIZER, table
 from threadmine.session import fresh_path
 
@@ -23,9 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of at least 0.8 of five-word
-    shingles: that with the least id."""
-    return minhash.without_near_duplicates(docs)
+    """One document of each group of linked fingerprints: that with the least id."""
+    return simhash.without_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near-duplicates", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("repeated windows", cut_repeats),
     ("mixing", mix_sources),
     ("packing", pack),
