@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadmine.llm import (
     exact,
     language,
     minhash,
     mixing,
+    negatives,
     packing,
     quotes,
     repeats,
@@ -94,6 +96,44 @@ def op10_recurrent_language_id(spark, sf_dir):
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_strassen_negatives(spark, sf_dir):
+    """Labels of every seventh vector move on by one; every hundredth is an anchor."""
+    moved = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        "embedding",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10)
+        .otherwise(F.col("label"))
+        .alias("label"),
+    )
+    return negatives.hard_negatives(moved, F.col("id") % 100 == 0)
+
+
+ORACLES["op12_strassen_negatives"] = """WITH whole AS (
+  SELECT row_number() OVER () AS place, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.place, a.vec_id AS anchor_id, b.place AS other, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM whole a, whole b WHERE a.vec_id % 100 = 0 AND a.place <> b.place
+),
+positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, id NULLS LAST, other) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.place, p.other ORDER BY n.score DESC, n.id NULLS LAST, n.other)
+    AS INT) AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.place = p.place AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5"""
+
+
 @query
 def op13_tree_merged_runs(spark, sf_dir):
     return exact.duplicate_report(table(spark, sf_dir, "documents"))
