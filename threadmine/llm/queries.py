@@ -16,6 +16,7 @@ from threadmine.llm import (
     negatives,
     packing,
     quotes,
+    repair,
     repeats,
     search,
     sharding,
@@ -96,6 +97,31 @@ def op10_recurrent_language_id(spark, sf_dir):
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with the damage that a checksum of conversation and turn picks; nulls are a space."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    pick = F.crc32(F.concat(shown[0], F.lit(":"), shown[1]).cast("binary")) % 20
+    text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
+    hurt = conversations.select(
+        "conv_id",
+        "turn",
+        pick.alias("pick"),
+        F.when(pick == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(pick == 1, F.lit(""))
+        .when(pick == 2, F.regexp_replace(text, "[.!?]", ""))
+        .otherwise(text)
+        .alias("text"),
+    )
+    times = F.when(F.col("pick") == 0, 0).when(F.col("pick") == 3, 2).otherwise(1)
+    return hurt.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).drop("copy", "pick")
+
+
+@query
+def op11_rank_convergence_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.with_empty(repair.repair_report(damaged(conversations)), conversations)
+
+
 @query
 def op12_strassen_negatives(spark, sf_dir):
     """Labels of every seventh vector move on by one; every hundredth is an anchor."""
