@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmine.llm.memory import released
 from threadmine.session import ensure_checkpoints
 
 MAX_TOKENS = 2048
@@ -202,7 +203,7 @@ def token_pieces(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit(""))
     )
     return wanted.mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        released(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

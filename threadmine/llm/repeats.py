@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadmine.llm.memory import released
 from threadmine.session import ensure_checkpoints, fresh_path
 
 WINDOW = 200
@@ -195,7 +196,7 @@ def _all_runs(rows: DataFrame, window: int) -> DataFrame:
                     ["digest", "anchor", "whole", "start", "count", "place"],
                 )
 
-    return rows.select("digest", "raw").mapInArrow(work, _RUN)
+    return rows.select("digest", "raw").mapInArrow(released(work), _RUN)
 
 
 def _sorted_runs(found: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def _sorted_runs(found: DataFrame) -> DataFrame:
             yield from settle(pa.Table.from_batches(rest))
 
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "whole")
-    return dealt.mapInArrow(work, f"{_RUN}, kind int")
+    return dealt.mapInArrow(released(work), f"{_RUN}, kind int")
 
 
 def _hot_anchors(found: DataFrame) -> DataFrame:
@@ -300,7 +301,7 @@ def _hot_out(contexts: DataFrame, window: int) -> DataFrame:
                 )
 
     windows = contexts.mapInArrow(
-        work, "digest binary, anchor long, run long, kind int, whole long, start long"
+        released(work), "digest binary, anchor long, run long, kind int, whole long, start long"
     )
     repeated = windows.groupBy("anchor", "whole").count().filter("count > 1")
     several = repeated.select("anchor", "whole")
@@ -340,7 +341,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     # All columns of ``rows``, so that this and the last join read the same shuffle of texts.
     joined = rows.join(lists, "digest").dropDuplicates(["digest"])
     return joined.select("doc_id", "digest", "raw", "runs").mapInArrow(
-        work,
+        released(work),
         "digest binary, anchor long, start long, count long, place long, kind int,"
         " context binary",
     )
@@ -392,7 +393,7 @@ def _sorted_out(contexts: DataFrame, window: int) -> DataFrame:
             yield settle(pa.Table.from_batches(rest))
 
     dealt = contexts.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(work, "digest binary, start long, end long")
+    return dealt.mapInArrow(released(work), "digest binary, start long, end long")
 
 
 def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -467,7 +468,7 @@ def removal_report(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
 
     joined = rows.join(repeated_stretches(rows, window), "digest", "left")
     return joined.select("doc_id", "raw", "stretches").mapInArrow(
-        work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        released(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
 
@@ -506,4 +507,4 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
             yield pa.record_batch(columns, docs_names)
 
     docs_names = list(docs.columns)
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(released(work), docs.schema)

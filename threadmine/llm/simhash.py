@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmine.llm.components import connected_components
+from threadmine.llm.memory import released
 from threadmine.session import ensure_checkpoints
 
 WORDS = 4
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
         F.col(text),
         F.xxhash64(text).alias("text_key"),
     )
-    return wanted.mapInArrow(work, "doc_id long, bits long, text_key long")
+    return wanted.mapInArrow(released(work), "doc_id long, bits long, text_key long")
 
 
 def _segment(i: int) -> Column:
@@ -222,7 +223,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
     rows = dealt.select("key", F.col("pair").cast("long").alias("pair"), "bits")
     sorted_rows = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "bits")
-    return sorted_rows.mapInArrow(work, "a long, b long")
+    return sorted_rows.mapInArrow(released(work), "a long, b long")
 
 
 def _components(docs: DataFrame, text: str) -> DataFrame:

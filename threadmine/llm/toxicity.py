@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadmine.llm.memory import released
+
 POSITIVES = 3_000
 UNLABELLED = 9_000
 VOCABULARY = 1 << 14
@@ -141,7 +143,7 @@ def train(
     other = drawn.join(known.filter("toxic = 1"), "doc_id", "left_anti").select(
         F.lit(0).alias("toxic"), "text"
     )
-    sets = toxic.unionByName(other).mapInArrow(_word_sets, "toxic int, words array<binary>")
+    sets = toxic.unionByName(other).mapInArrow(released(_word_sets), "toxic int, words array<binary>")
     sets = sets.persist()
     sizes = {r.toxic: r["count"] for r in sets.groupBy("toxic").count().collect()}
     n_toxic, n_other = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
@@ -169,7 +171,7 @@ def train(
                 [batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"]
             )
 
-    sample = sets.mapInArrow(indexed, "toxic int, features array<int>").toPandas()
+    sample = sets.mapInArrow(released(indexed), "toxic int, features array<int>").toPandas()
     sets.unpersist()
     # The order of rows changes sums in their last digits only; sorting fixes even those.
     sample = sample.assign(key=sample["features"].map(lambda f: np.asarray(f).tobytes()))
@@ -194,7 +196,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             yield pa.record_batch([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text))
-    return rows.mapInArrow(work, "doc_id long, score double")
+    return rows.mapInArrow(released(work), "doc_id long, score double")
 
 
 def _scores(model: Model | None, texts: pa.Array) -> np.ndarray:
@@ -221,4 +223,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
             scores = _scores(shared.value, batch.column(column))
             yield batch.filter(pa.array(scores < THRESHOLD))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(released(work), docs.schema)
