@@ -324,6 +324,25 @@ COVERED = f"""WITH {DOCS}
 SELECT DISTINCT id, 4 AS topics, CAST(1 AS DOUBLE) AS total_weight
 FROM words SEMI JOIN vocabulary USING (term)"""
 
+JUDGED = f"""WITH {DOCS},
+train AS (SELECT * FROM words WHERE id % 5 <> 0),
+known AS (
+  SELECT term, count(*) AS n FROM train GROUP BY term HAVING count(DISTINCT id) >= {MIN_DOCUMENTS}
+),
+held AS (
+  SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY pos) % 2 AS seen
+  FROM words WHERE id % 5 = 0
+),
+usable AS (SELECT DISTINCT id FROM held SEMI JOIN known USING (term) WHERE seen = 1),
+judged AS (
+  SELECT count(*) AS n, sum(ln(known.n / (SELECT sum(n) FROM known))) AS unigram
+  FROM held JOIN known USING (term) SEMI JOIN usable USING (id) WHERE seen = 0
+)
+SELECT CAST(topic AS INT) AS topic, CAST({TOP} AS BIGINT) AS terms, true AS weights_fall,
+  true AS weights_in_range, true AS terms_distinct, true AS terms_known, n AS held_out_words,
+  round(unigram, 3) AS unigram_log_likelihood, true AS better
+FROM judged, range(1, 5) r(topic)"""
+
 ORACLES: dict[str, str] = {
     "posts_from_dump": f"WITH {POSTS} SELECT {POST_COLUMNS} FROM posts",
     "dump_line_validity": f"""WITH {POSTS}
@@ -411,6 +430,9 @@ HAVING count(DISTINCT id) >= 2""",
     "vocabulary_size": f"WITH {DOCS} SELECT count(*) AS terms FROM vocabulary",
     "count_vectors": f"""WITH {DOCS}
 SELECT id, term, count(*) AS count FROM words SEMI JOIN vocabulary USING (term) GROUP BY id, term""",
+    "numbered_terms": f"""WITH {DOCS}
+SELECT CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INT) AS "termIndex", term, n AS count
+FROM vocabulary""",
     "saved_vectorizer": f"""WITH {DOCS}
 SELECT CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INT) AS "termIndex", term
 FROM vocabulary""",
@@ -481,10 +503,24 @@ SELECT CAST(topic AS INT) AS topic, kind, CAST(rank AS INT) AS rank, detail AS l
 SELECT 'D' AS corpus, (SELECT count(*) FROM documents) AS documents,
   (SELECT count(*) FROM vocabulary) AS terms, CAST(k AS INT) AS k,
   round(50 / k + 1, {ROUNDED}) AS alpha, CAST(1.01 AS DOUBLE) AS beta, 5 AS iterations FROM ks""",
+    "em_topics": JUDGED,
+    "online_topics": JUDGED,
+    "sweep_reports": f"""WITH ks AS (SELECT unnest([3, 5]) AS k),
+listed AS (
+  SELECT 'term' AS kind, rank FROM range(1, {TOP + 1}) t(rank)
+  UNION ALL SELECT 'document', rank FROM range(1, 11) t(rank)
+)
+SELECT CAST(k AS INT) AS k, CAST(topic AS INT) AS topic, kind, CAST(rank AS INT) AS rank,
+  true AS well_labelled
+FROM ks, range(1, 6) r(topic), listed WHERE topic <= k""",
     "metrics_of_saved_models": f"""WITH {DOCS}, ks AS (SELECT unnest([3, 5]) AS k),
 modelled AS (SELECT count(DISTINCT id) AS n FROM words SEMI JOIN vocabulary USING (term))
-SELECT CAST(k AS INT) AS k, CAST(topic AS INT) AS topic, n AS documents
+SELECT CAST(k AS INT) AS k, CAST(topic AS INT) AS topic, n AS documents, true AS nddt_holds,
+  true AS every_document_dominated, true AS impact_holds, true AS weights_within_documents,
+  true AS entropy_holds, true AS engagement_holds, true AS score_holds
 FROM modelled, ks, range(1, 6) r(topic) WHERE topic <= k""",
-    "reloaded_model_topics": f"""
-SELECT CAST(topic AS INT) AS topic, CAST({TOP} AS BIGINT) AS terms FROM range(1, 4) r(topic)""",
+    "reloaded_model_topics": f"""WITH {DOCS}, size AS (SELECT count(*) AS n FROM vocabulary)
+SELECT CAST(topic AS INT) AS topic, least(n, {TOP}) AS terms, least(n, {TOP}) AS known_terms,
+  true AS as_reported
+FROM size, range(1, 4) r(topic)""",
 }

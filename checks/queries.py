@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from checks import fixtures as fx
 from threadmine.functions import text, weights
 from threadmine.functions.stem import stem_dictionary, stem_words
 from threadmine.operators import corpus as corpora
-from threadmine.operators import metrics, reports, selection, terms, topics
+from threadmine.operators import metrics, quality, reports, selection, terms, topics, vectors
 from threadmine.plans.analysis import sweep_metrics
 from threadmine.plans.modelling import model_corpus
 from threadmine.session import fresh_path
@@ -360,14 +360,13 @@ def vocabulary_size(spark, sf_dir):
 @query
 def count_vectors(spark, sf_dir):
     docs = _at_rest(spark, _documents(spark, sf_dir), fresh_path(spark, "corpus"))
-    vectorizer = topics.fit_vectorizer(docs, MIN_DOCUMENTS)
-    vectors = topics.vectorize(vectorizer, docs)
-    numbered = F.transform(
-        vector_to_array("features"), lambda n, at: F.struct(at.alias("at"), n.alias("n"))
-    )
-    used = vectors.select("id", F.inline(F.filter(numbered, lambda x: x["n"] > 0)))
-    named = used.join(topics.vocabulary_table(spark, vectorizer), F.col("at") == F.col("termIndex"))
-    return named.select("id", "term", F.col("n").cast("bigint").alias("count"))
+    known = vectors.numbered_vocabulary(docs, MIN_DOCUMENTS)
+    return vectors.vector_counts(vectors.count_vectors(docs, known), known)
+
+
+@query
+def numbered_terms(spark, sf_dir):
+    return vectors.numbered_vocabulary(_documents(spark, sf_dir), MIN_DOCUMENTS)
 
 
 @query
@@ -578,10 +577,40 @@ def _coverage(found: DataFrame) -> DataFrame:
     )
 
 
+def _judged(spark, sf_dir, optimizer: str) -> DataFrame:
+    """Topics fitted on four fifths of the documents, and what they say about the last fifth."""
+    docs = _at_rest(spark, _documents(spark, sf_dir), fresh_path(spark, "corpus"))
+    train, held = docs.filter("id % 5 <> 0"), docs.filter("id % 5 = 0")
+    known = vectors.numbered_vocabulary(train, MIN_DOCUMENTS).checkpoint()
+    fitted = topics.fit_topics(vectors.count_vectors(train, known), 4, optimizer, **FIT)
+    shares = topics.term_shares(fitted, known).checkpoint()
+
+    seen, unseen = quality.halves(held)
+    inferred = topics.inferred_distributions(fitted.model, vectors.count_vectors(seen, known))
+    score = quality.held_out_likelihood(unseen, inferred, shares, quality.unigram(known))
+
+    best = topics.heaviest_terms(shares, TOP).withColumn(
+        "before", F.lag("weight").over(W.partitionBy("topic").orderBy("rank"))
+    )
+    shape = best.join(known.select("term", F.lit(True).alias("known")), "term", "left").groupBy("topic").agg(
+        F.count("term").alias("terms"),
+        F.every(F.coalesce(F.col("before") >= F.col("weight"), F.lit(True))).alias("weights_fall"),
+        F.every((F.col("weight") > 0) & (F.col("weight") <= 1)).alias("weights_in_range"),
+        (F.count_distinct("term") == F.count("term")).alias("terms_distinct"),
+        F.every(F.coalesce("known", F.lit(False))).alias("terms_known"),
+    )
+    return shape.crossJoin(  # one row
+        score.select(
+            F.col("words").alias("held_out_words"),
+            F.round("unigram_log_likelihood", 3).alias("unigram_log_likelihood"),
+            (F.col("topic_log_likelihood") > F.col("unigram_log_likelihood")).alias("better"),
+        )
+    )
+
+
 @query
 def em_topics(spark, sf_dir):
-    vectorizer, fixed = _fixed(spark, sf_dir)
-    return topics.topic_terms(topics.fit_topics(fixed, 4, "em", **FIT).model, vectorizer, TOP)
+    return _judged(spark, sf_dir, "em")
 
 
 @query
@@ -592,8 +621,7 @@ def em_distributions(spark, sf_dir):
 
 @query
 def online_topics(spark, sf_dir):
-    vectorizer, fixed = _fixed(spark, sf_dir)
-    return topics.topic_terms(topics.fit_topics(fixed, 4, "online", **FIT).model, vectorizer, TOP)
+    return _judged(spark, sf_dir, "online")
 
 
 @query
@@ -623,22 +651,62 @@ def sweep_statistics(spark, sf_dir):
 
 @query
 def sweep_reports(spark, sf_dir):
+    """The rows of the reports, and whether their labels have the right form and title."""
     _, _, runs = _sweep(spark, sf_dir)
     rows = [r.report.select(F.lit(r.fitted.k).alias("k"), "*") for r in runs]
-    return rows[0].unionByName(rows[1])
+    term = F.col("label").rlike(r"^[a-z0-9_]{2,} \([01]\.[0-9]{3}\)$") & (F.col("label") == F.col("detail"))
+    document = F.col("label").rlike(r"^([0-9]+) : \S+ \1 : [01]\.[0-9]{4}$")
+    return rows[0].unionByName(rows[1]).select(
+        "k", "topic", "kind", "rank",
+        F.when(F.col("kind") == "term", term).otherwise(document).alias("well_labelled"),
+    )
 
 
 @query
 def metrics_of_saved_models(spark, sf_dir):
+    """All metrics, held against bounds that hold for any topics."""
     corpus, base, runs = _sweep(spark, sf_dir)
     found = sweep_metrics(corpus, "D", base, [r.fitted.k for r in runs])
-    return found.select("k", "topic", "documents")
+    totals = metrics.corpus_totals(corpus)
+    every = W.partitionBy("k")
+    n = F.col("documents")
+
+    def near(x: Column, y: Column) -> Column:
+        return F.abs(x - y) < 1e-9
+
+    engaged = [
+        (F.col(f"{name}_sum").between(0, F.col(total)))
+        & near(F.col(f"{name}_share") * F.col(total), F.col(f"{name}_sum"))
+        for name, (_, total) in metrics.ENGAGEMENT.items()
+        if name != "score"  # may be negative
+    ]
+    return found.crossJoin(totals).select(  # one row
+        "k", "topic", "documents",
+        (F.col("nddt").between(0, n) & near(F.col("pddt"), F.col("nddt") / n)).alias("nddt_holds"),
+        (F.sum("nddt").over(every) >= n).alias("every_document_dominated"),
+        (F.col("impact").between(0, n) & near(F.col("share"), F.col("impact") / n)).alias("impact_holds"),
+        (F.sum("impact").over(every) <= n + 1e-6).alias("weights_within_documents"),
+        # -w log10 w is 1 / (e ln 10) at most
+        F.col("entropy").between(0, n * 0.16).alias("entropy_holds"),
+        reduce(lambda a, b: a & b, engaged).alias("engagement_holds"),
+        near(F.col("score_share") * F.col("Scores"), F.col("score_sum")).alias("score_holds"),
+    )
 
 
 @query
 def reloaded_model_topics(spark, sf_dir):
+    """Terms of the model as it was read back, next to those of the report made at its fit."""
     _, base, runs = _sweep(spark, sf_dir)
-    vectorizer = topics.load_vectorizer(base, "D", 3)
-    model = topics.load_model(base, "D", 3)
-    found = topics.topic_terms(model, vectorizer, TOP)
-    return found.groupBy("topic").agg(F.count("term").alias("terms"))
+    known = topics.vocabulary_table(spark, topics.load_vectorizer(base, "D", 3))
+    described = topics.load_model(base, "D", 3).describeTopics(TOP)
+    read_back = topics.name_terms(described, known)
+    shares = topics.term_shares(runs[0].fitted, known, runs[0].path)
+    reported = topics.heaviest_terms(shares, TOP).select(
+        "topic", "rank", F.col("weight").alias("reported")
+    )
+    both = read_back.join(known.select("term", "termIndex"), "term").join(reported, ["topic", "rank"])
+    return both.groupBy("topic").agg(
+        F.count("term").alias("terms"),
+        F.count("termIndex").alias("known_terms"),
+        F.every(F.abs(F.col("weight") - F.col("reported")) < 1e-9).alias("as_reported"),
+    )

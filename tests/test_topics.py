@@ -1,3 +1,6 @@
+from dataclasses import replace
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +84,98 @@ def test_sweep_of_topic_counts(corpus):
     assert ks == [2, 3, 4]
 
 
-def test_foreign_model_layout_is_refused(spark, tmp_path):
+def fitted_on(corpus, optimizer="em", k=2):
+    vectorizer = topics.fit_vectorizer(corpus, 3, words="document")
+    fixed = topics.fix_rows(topics.vectorize(vectorizer, corpus))
+    return vectorizer, topics.fit_topics(fixed, k, optimizer, iterations=20, seed=3)
+
+
+def test_foreign_model_layout_infers_weights(spark, corpus, tmp_path):
+    """A model whose graph is not where it is looked for, or looks different."""
+    _, fitted = fitted_on(corpus)
+    path = topics.save_model(fitted, str(tmp_path), "F")
+    saved = {r.id: r.weights for r in topics.saved_distributions(spark, path).collect()}
+    data = Path(topics.current_version(spark, path)) / "model/oldModel/data"
+    spark.read.parquet(str(data / "topicCounts")).withColumnRenamed("id", "vertex").write.parquet(
+        str(data / "other")
+    )
+    # the model itself is read from its own files, so only the graph's columns are changed here
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topics, "_vertices", lambda *_: None)
+        with pytest.raises(ValueError):
+            topics.saved_distributions(spark, path)
+        found = topics.saved_distributions(spark, path, lambda: fitted.vectors).collect()
+    assert {r.id for r in found} == set(saved)
+    assert all(abs(sum(r.weights) - 1) < 1e-6 for r in found)
+    agree = [
+        max(range(2), key=lambda t: r.weights[t]) == max(range(2), key=lambda t: saved[r.id][t]) for r in found
+    ]
+    assert all(agree)
+
+
+def test_layout_is_checked(spark, tmp_path):
+    assert topics._vertices(spark, str(tmp_path / "none")) is None
     spark.range(3).write.parquet(str(tmp_path / "model/oldModel/data/topicCounts"))
-    with pytest.raises(ValueError):
-        topics.saved_distributions(spark, str(tmp_path))
+    assert topics._vertices(spark, str(tmp_path)) is None
+
+
+@pytest.mark.parametrize("optimizer", ["em", "online"])
+def test_heaviest_terms_are_those_the_model_describes(corpus, optimizer):
+    vectorizer, fitted = fitted_on(corpus, optimizer)
+    terms = topics.vocabulary_table(corpus.sparkSession, vectorizer)
+    shares = topics.term_shares(fitted, terms)
+    assert shares.count() == 6
+    sums = shares.select(F.posexplode("shares")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
+    assert len(sums) == 2 and all(abs(r.s - 1) < 1e-9 for r in sums)
+
+    def listed(rows):
+        return {(r.topic, r.rank): r.weight for r in rows.collect()}
+
+    mine, theirs = listed(topics.heaviest_terms(shares, 4)), listed(topics.topic_terms(fitted.model, vectorizer, 4))
+    assert mine.keys() == theirs.keys() and len(mine) == 8
+    assert all(abs(mine[x] - theirs[x]) < 1e-9 for x in mine)
+
+
+def test_heaviest_terms_are_cut_before_the_shuffle(spark):
+    shares = spark.createDataFrame([(0, "a", [0.1, 0.9])], "termIndex INT, term STRING, shares ARRAY<DOUBLE>")
+    plan = topics.heaviest_terms(shares, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_online_over_em_leaves_no_row_table(spark, corpus, tmp_path):
+    _, em = fitted_on(corpus)
+    _, online = fitted_on(corpus, "online")
+    path = topics.save_model(em, str(tmp_path), "R")
+    assert (Path(topics.current_version(spark, path)) / "documents").exists()
+    assert topics.save_model(online, str(tmp_path), "R") == path
+    assert not (Path(topics.current_version(spark, path)) / "documents").exists()
+    assert topics.load_model(str(tmp_path), "R", 2, "online").vocabSize() == 6
+
+
+def test_failure_between_model_and_rows_keeps_the_old_model(spark, corpus, tmp_path):
+    _, first = fitted_on(corpus)
+    path = topics.save_model(first, str(tmp_path), "S")
+    before = {r.id: r.weights for r in topics.saved_distributions(spark, path).collect()}
+    lost = corpus.select(F.col("id").alias("row"), F.raise_error(F.lit("lost")).alias("id"))
+    broken = replace(first, documents=lost)
+    with pytest.raises(Exception, match="lost"):
+        topics.save_model(broken, str(tmp_path), "S")
+    after = {r.id: r.weights for r in topics.saved_distributions(spark, path).collect()}
+    assert after == before
+
+
+def test_sweep_joins_and_reads_the_corpus_once(spark, corpus, tmp_path):
+    at_rest = str(tmp_path / "corpus")
+    corpus.write.parquet(at_rest)
+    corpus = spark.read.parquet(at_rest)
+    for k in (2, 3, 4):
+        _, fitted = fitted_on(corpus, k=k)
+        topics.save_model(fitted, str(tmp_path), "W")
+    found = sweep_metrics(corpus, "W", str(tmp_path), (2, 3, 4))
+    assert found.count() == 9
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # one join with the corpus, and one aggregation by k and topic
+    assert plan.count("Join LeftOuter") == 1
+    assert sum("Aggregate [k#" in line for line in plan.splitlines()) == 1
+    one = sweep_metrics(corpus, "W", str(tmp_path), (3,)).collect()
+    assert {tuple(r) for r in one} <= {tuple(r) for r in found.collect()}

@@ -7,13 +7,15 @@ aggregation by topic, pre-aggregated before its only shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmine.functions.weights import THRESHOLD
 from threadmine.operators.corpus import corpus_heads
 
-# metric name -> (corpus column, name of the corpus total)
+# Metric name -> (corpus column, name of the corpus total)
 ENGAGEMENT = {
     "view": ("viewCount", "Views"),
     "answer": ("answerCount", "Answers"),
@@ -21,7 +23,7 @@ ENGAGEMENT = {
     "favorite": ("favoriteCount", "Favorites"),
     "score": ("score", "Scores"),
 }
-# metric -> column name pattern of the one-row presentation
+# Metric -> column name pattern of the one-row presentation
 WIDE_NAMES = {
     "nddt": "sum(Topic {})",
     "impact": "sum(Topic {})",
@@ -99,9 +101,10 @@ def model_metrics(
 
 def topic_metrics(
     distributions: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD,
-    single_winner: bool = False,
+    single_winner: bool = False, by: Sequence[str] = (),
 ) -> DataFrame:
-    """All metrics of every topic, one row per topic.
+    """All metrics of every topic, one row per topic (and value of the columns ``by``, which
+    tell the distributions of several models apart).
 
     Adds to :func:`model_metrics` the sums ``view_sum`` … ``score_sum`` of weight times
     engagement and the shares ``view_share`` … ``score_share`` they have in the totals of
@@ -110,7 +113,7 @@ def topic_metrics(
     lean = lean_corpus(corpus)
     columns = [c for c, _ in ENGAGEMENT.values()]
     joined = distributions.join(lean, "id", "left")
-    rows = _topic_weights(joined, columns, single_winner)
+    rows = _topic_weights(joined, [*by, *columns], single_winner)
     reached = F.col("weight") >= threshold
     sums = [
         F.sum(
@@ -118,7 +121,7 @@ def topic_metrics(
         ).alias(f"{name}_sum")
         for name, (c, _) in ENGAGEMENT.items()
     ]
-    by_topic = rows.groupBy("topic").agg(*_model_aggregates(threshold), *sums)
+    by_topic = rows.groupBy(*by, "topic").agg(*_model_aggregates(threshold), *sums)
     totals = corpus_totals(corpus)
     total = totals.select(F.struct(*[t for _, t in ENGAGEMENT.values()])).scalar()
     shares = [
@@ -126,7 +129,7 @@ def topic_metrics(
         for name, (_, t) in ENGAGEMENT.items()
     ]
     return by_topic.select(
-        "topic", "documents", "nddt", "impact", "entropy", *_model_ratios(),
+        *by, "topic", "documents", "nddt", "impact", "entropy", *_model_ratios(),
         *[f"{name}_sum" for name in ENGAGEMENT], *shares,
     )
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.ml.clustering import LDA, DistributedLDAModel, LDAModel, LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadmine.operators.terms import MIN_DOCUMENTS, vocabulary, vocabulary_size
+from threadmine.operators.vectors import count_vectors
 from threadmine.session import ensure_checkpoints, fresh_path
+from threadmine.sources.versions import current_version, save_version
 
 CHECKPOINT_INTERVAL = 50
 #: Terms that one model can hold.
@@ -48,14 +51,10 @@ def fit_vectorizer(
 
 def vectorize(vectorizer: CountVectorizerModel, corpus: DataFrame) -> DataFrame:
     """``(id, features)``, one row per document; parts of spread documents are added up."""
-    if "part" not in corpus.columns:
-        return vectorizer.transform(corpus).select("id", "features")
-    counted = vectorizer.transform(corpus).select("id", "part", "features")
-    one_row = counted.filter(F.col("part").isNull()).select("id", "features")
-    spread = counted.filter(F.col("part").isNotNull()).groupBy("id").agg(
-        Summarizer.sum(F.col("features")).alias("features")
-    )
-    return one_row.unionByName(spread)
+    if "part" in corpus.columns:
+        terms = vocabulary_table(corpus.sparkSession, vectorizer)
+        return count_vectors(corpus, terms, vectorizer.getInputCol())
+    return vectorizer.transform(corpus).select("id", "features")
 
 
 def save_vectorizer(vectorizer: CountVectorizerModel, base: str, corpus_id: str, k: int) -> str:
@@ -133,41 +132,76 @@ def topic_sweep(
         yield fit_topics(fixed, k, **settings)
 
 
+def model_path(base: str, corpus_id: str, k: int) -> str:
+    return f"{base.rstrip('/')}/ldaModel-{corpus_id}-{k}"
+
+
 def save_model(fitted: TopicModel, base: str, corpus_id: str) -> str:
-    """Replace the model saved for this corpus and number of topics."""
-    path = f"{base.rstrip('/')}/ldaModel-{corpus_id}-{fitted.k}"
-    fitted.model.write().overwrite().save(f"{path}/model")
-    if fitted.optimizer == "em":
-        fitted.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    """Replace the model saved for this corpus and number of topics.
+
+    The model and the row table of an em model become current together: see ``save_version``.
+    """
+    path = model_path(base, corpus_id, fitted.k)
+
+    def write(folder: str) -> None:
+        fitted.model.write().save(f"{folder}/model")
+        if fitted.optimizer == "em":
+            fitted.documents.write.parquet(f"{folder}/documents")
+
+    save_version(fitted.vectors.sparkSession, path, write)
     return path
 
 
 def load_model(base: str, corpus_id: str, k: int, optimizer: str = "em") -> LDAModel:
+    return read_model(SparkSession.active(), model_path(base, corpus_id, k), optimizer)
+
+
+def read_model(spark: SparkSession, path: str, optimizer: str = "em") -> LDAModel:
+    """The current model of what :func:`save_model` returned."""
     reader = DistributedLDAModel if optimizer == "em" else LocalLDAModel
-    return reader.load(f"{base.rstrip('/')}/ldaModel-{corpus_id}-{k}/model")
+    return reader.load(f"{current_version(spark, path)}/model")
 
 
 # --- what a model says -----------------------------------------------------------------
 
 
-def saved_distributions(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, weights)`` an em model arrived at for its own documents.
+def _vertices(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(id, counts)`` of an em model's graph, or None if it was saved in another layout.
 
-    ``path`` is what :func:`save_model` returned. Document vertices have row numbers from 0
-    up (terms are negative); a document without any vocabulary term has none.
+    Documents have row numbers from 0 up; term t has the id -t - 1.
     """
-    vertices = spark.read.parquet(f"{path}/model/oldModel/data/topicCounts")
+    try:
+        vertices = spark.read.parquet(f"{current_version(spark, path)}/model/oldModel/data/topicCounts")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     types = dict(vertices.dtypes)
     if types.get("id") != "bigint" or "topicWeights" not in types:
-        raise ValueError(f"unexpected layout of the saved model: {types}")
-    counts = vertices.filter(F.col("id") >= 0).select(
-        F.col("id").alias("row"), vector_to_array("topicWeights").alias("counts")
-    )
+        return None
+    return vertices.select("id", vector_to_array("topicWeights").alias("counts"))
+
+
+def saved_distributions(
+    spark: SparkSession, path: str, vectors: Callable[[], DataFrame] | None = None
+) -> DataFrame:
+    """``(id, weights)`` an em model arrived at for its own documents.
+
+    ``path`` is what :func:`save_model` returned. A document without any vocabulary term has no
+    row. The weights are read from the saved graph. That layout is no public contract: if it is
+    another one, topics are inferred for ``vectors()``, the vectors of the documents.
+    """
+    vertices = _vertices(spark, path)
+    if vertices is None:
+        if vectors is None:
+            raise ValueError(f"unexpected layout of the model in {path}, and no vectors to infer from")
+        return inferred_distributions(read_model(spark, path), vectors())
     total = F.aggregate("counts", F.lit(0.0), lambda a, c: a + c)
-    weights = counts.withColumn("total", total).select(
-        "row", F.transform("counts", lambda c: F.try_divide(c, F.col("total"))).alias("weights")
+    weights = vertices.filter(F.col("id") >= 0).withColumn("total", total).select(
+        F.col("id").alias("row"),
+        F.transform("counts", lambda c: F.try_divide(c, F.col("total"))).alias("weights"),
     )
-    documents = spark.read.parquet(f"{path}/documents")
+    documents = spark.read.parquet(f"{current_version(spark, path)}/documents")
     return documents.join(weights, "row").select("id", "weights")
 
 
@@ -181,13 +215,14 @@ def inferred_distributions(model: LDAModel, vectors: DataFrame) -> DataFrame:
     )
 
 
-def distributions(fitted: TopicModel) -> DataFrame:
-    """Topic weights of the documents the model was fitted on."""
+def distributions(fitted: TopicModel, saved: str | None = None) -> DataFrame:
+    """Topic weights of the documents the model was fitted on. ``saved`` is the path of an em
+    model that is saved already."""
     if fitted.optimizer != "em":
         return inferred_distributions(fitted.model, fitted.vectors)
     spark = fitted.vectors.sparkSession
-    path = save_model(fitted, fresh_path(spark, "em"), "fit")
-    return saved_distributions(spark, path)
+    path = saved or save_model(fitted, fresh_path(spark, "em"), "fit")
+    return saved_distributions(spark, path, lambda: fitted.vectors)
 
 
 def vocabulary_table(spark: SparkSession, vectorizer: CountVectorizerModel) -> DataFrame:
@@ -198,7 +233,7 @@ def vocabulary_table(spark: SparkSession, vectorizer: CountVectorizerModel) -> D
     )
 
 
-def name_terms(described: DataFrame, terms: DataFrame) -> DataFrame:
+def name_terms(described: DataFrame, terms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(topic, rank, term, weight)`` from topics given as arrays of term indices."""
     pairs = F.arrays_zip("termIndices", "termWeights")
     flat = described.select(
@@ -207,10 +242,50 @@ def name_terms(described: DataFrame, terms: DataFrame) -> DataFrame:
         "topic", (F.col("at") + 1).alias("rank"),
         F.col("pair.termIndices").alias("termIndex"), F.col("pair.termWeights").alias("weight"),
     )
-    return flat.join(terms, "termIndex").select("topic", "rank", "term", "weight")
+    return flat.join(terms, "termIndex").select("topic", "rank", "term", "weight", *keep)
 
 
 def topic_terms(model: LDAModel, vectorizer: CountVectorizerModel, n: int = 20) -> DataFrame:
     """The ``n`` heaviest terms of every topic, topics and ranks counting from 1."""
     described = model.describeTopics(n)
     return name_terms(described, vocabulary_table(described.sparkSession, vectorizer))
+
+
+def term_shares(fitted: TopicModel, terms: DataFrame, saved: str | None = None) -> DataFrame:
+    """``(termIndex, term, shares)``: the share of each topic that the term makes up.
+
+    ``terms`` has ``(termIndex, term)``. For an em model they come from the term vertices of
+    its saved graph, a table. An online model is a matrix on the driver already.
+    """
+    spark = fitted.vectors.sparkSession
+    if fitted.optimizer == "em":
+        path = saved or save_model(fitted, fresh_path(spark, "em"), "fit")
+        vertices = _vertices(spark, path)
+        if vertices is not None:
+            return _shares_of_vertices(vertices, fitted.k).join(terms, "termIndex").select(
+                "termIndex", "term", "shares"
+            )
+    described = fitted.model.describeTopics(fitted.model.vocabSize())
+    rows = name_terms(described, terms.select("termIndex", "term"), keep=("termIndex",))
+    by_topic = F.transform(F.array_sort(F.collect_list(F.struct("topic", "weight"))), lambda t: t["weight"])
+    return rows.groupBy("termIndex", "term").agg(by_topic.alias("shares"))
+
+
+def _shares_of_vertices(vertices: DataFrame, k: int) -> DataFrame:
+    terms = vertices.filter(F.col("id") < 0)
+    totals = [F.sum(F.get("counts", F.lit(i))) for i in range(k)]
+    total = terms.agg(F.array(*totals).alias("totals")).scalar()
+    return terms.withColumn("totals", total).select(
+        (-F.col("id") - 1).cast("int").alias("termIndex"),
+        F.zip_with("counts", "totals", lambda c, n: F.try_divide(c, n)).alias("shares"),
+    )
+
+
+def heaviest_terms(shares: DataFrame, n: int = 20) -> DataFrame:
+    """``(topic, rank, term, weight)``: the ``n`` heaviest terms of every topic, topics and ranks
+    counting from 1, ties by term number. Every task cuts its rows to ``n`` per topic before
+    anything is shuffled."""
+    rows = shares.select("termIndex", "term", F.posexplode("shares").alias("at", "weight"))
+    order = W.partitionBy("at").orderBy(F.desc("weight"), "termIndex")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.select((F.col("at") + 1).alias("topic"), "rank", "term", "weight")

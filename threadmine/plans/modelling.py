@@ -15,15 +15,16 @@ from threadmine.operators.corpus import without_domain_words
 from threadmine.operators.terms import MIN_DOCUMENTS, corpus_size
 from threadmine.operators.topics import (
     TopicModel,
+    distributions,
     fit_topics,
     fit_vectorizer,
     fix_rows,
-    inferred_distributions,
+    heaviest_terms,
     save_model,
     save_vectorizer,
-    saved_distributions,
-    topic_terms,
+    term_shares,
     vectorize,
+    vocabulary_table,
 )
 
 
@@ -56,21 +57,19 @@ def model_corpus(
     fixed = fix_rows(vectorize(vectorizer, removed)).persist(StorageLevel.MEMORY_AND_DISK)
     prepared = time.monotonic() - started
     documents = corpus_size(corpus).first()[0]
+    terms = vocabulary_table(spark, vectorizer)
     try:
         for k in topic_counts:
             started = time.monotonic()
             save_vectorizer(vectorizer, base, corpus_id, k)
             fitted = fit_topics(fixed, k, optimizer, iterations, alpha, beta, seed)
             path = save_model(fitted, base, corpus_id)
-            if optimizer == "em":
-                weights = saved_distributions(spark, path)
-            else:
-                weights = inferred_distributions(fitted.model, fixed)
+            weights = distributions(fitted, path)
             top = reports.top_documents(weights, documents_per_topic)
             report = reports.report_rows(
-                topic_terms(fitted.model, vectorizer, terms_per_topic),
+                heaviest_terms(term_shares(fitted, terms, path), terms_per_topic),
                 reports.with_titles(top, corpus) if documents_per_topic > 0 else None,
-            )
+            ).checkpoint()  # made here, so that the time of the run has it
             seconds = prepared + time.monotonic() - started
             statistics = reports.run_statistics(
                 spark, corpus_id, documents, len(vectorizer.vocabulary), k, fitted.alpha,
