@@ -73,6 +73,7 @@ def broken_lines(posts: DataFrame) -> DataFrame:
         F.lit("<posts>"),
         F.lit("</posts>"),
         F.lit("junk"),
+        F.regexp_replace(line, ' Id="', ' id="'),
     ]
     number = F.regexp_extract(line, ' Id="([0-9]+)"', 1).cast("bigint")
     chosen = F.element_at(F.array(*kinds), (number % len(kinds) + 1).cast("int"))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from threadmine.operators import corpus as corpora
 from threadmine.operators import selection, skew, terms, topics
+from threadmine.operators.answer_text import concatenated
 from threadmine.plans.corpora import build_corpora
+from threadmine.plans.corpora import corpora as corpora_of
 from threadmine.sources.corpus_files import write_corpus_csv
 
 YEAR = datetime.datetime(2015, 1, 1)
@@ -95,7 +97,10 @@ def test_spread_documents_count_the_same(parts, per_answer):
 
 def test_answer_corpus(parts):
     rows = corpora.answer_corpus(*parts).collect()
-    assert {(r.id, r.part, r.title) for r in rows} == {
+    assert dict(corpora.answer_corpus(*parts).dtypes) == {
+        "id": "bigint", "title": "string", "cleaned": "string"
+    }
+    assert {(r.id, None, r.title) for r in rows} == {
         (1, None, "Joining tables"), (4, None, "Counting"),
     }
     spread = corpora.answer_corpus(*parts, max_answers=2).collect()
@@ -187,3 +192,64 @@ def test_one_row_per_question_at_every_size(spark, tmp_path):
     assert corpora.spread_answer_corpus(*both).count() == n + 1
     write_corpus_csv(spread, str(tmp_path / "csv"))
     assert len(spark.read.csv(str(tmp_path / "csv")).columns) == 3
+
+
+def test_a_question_of_200000_answers(spark):
+    answers = spark.range(200_000).select(
+        F.col("id"),
+        F.when(F.col("id") % 100 < 99, 1).otherwise(F.col("id")).alias("parentId"),
+        F.concat(F.lit("a"), F.col("id")).alias("body"),
+    )
+    found = {r.id: r.text for r in concatenated(answers.repartition(7)).collect()}
+    assert len(found) == 2001 and found[199] == "a199"
+    assert found[1] == " ".join(f"a{i}" for i in range(200_000) if i % 100 < 99)
+    # a list holds the answers in a span of ids, or the texts of the spans
+    plan = concatenated(answers)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 2
+
+
+def test_concatenation_of_null_and_empty_bodies(spark):
+    rows = [(1, 1, None), (9000, 1, "x"), (9001, 1, None), (20000, 1, ""), (30000, 1, "y"), (2, 2, None)]
+    answers = spark.createDataFrame(rows, "id BIGINT, parentId BIGINT, body STRING")
+    assert {r.id: r.text for r in concatenated(answers).collect()} == {1: "x  y", 2: ""}
+
+
+def test_bitmap_keeps_all_that_are_asked_for(spark):
+    asked = spark.range(0, 3000, 3).select(F.col("id").alias("parentId"))
+    answers = spark.range(9000).select("id", (F.col("id") % 4000).alias("parentId"), F.lit("b").alias("body"))
+    answers = answers.unionByName(spark.createDataFrame([(-1, None, "n")], "id BIGINT, parentId BIGINT, body STRING"))
+    for bits in (1 << 15, 1 << 25):
+        kept = selection.maybe_among(answers, asked, "parentId", bits)
+        assert kept.columns == answers.columns
+        exact = answers.join(asked, "parentId", "left_semi")
+        assert exact.select(answers.columns).exceptAll(kept).count() == 0
+        assert kept.filter("parentId IS NULL").count() == 0
+    few = selection.maybe_among(answers, asked, "parentId")
+    assert few.count() <= exact.count() * 1.01
+    none = selection.maybe_among(answers, asked.filter("parentId < 0"), "parentId")
+    assert none.count() == 0
+
+
+def test_answers_are_filtered_before_their_texts_are_shuffled(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = corpora_of(spark.read.parquet(path), prep=PREP)
+        scans = {
+            kind: sum(path in f for f in map(str, corpus.inputFiles())) for kind, corpus in made.items()
+        }
+        plan = made["QA"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # titles and questions come from the staged questions; answers from one scan of the posts
+    assert scans["QT"] == scans["Q"] == 0 and scans["QA"] > 0
+    lines = plan.splitlines()
+    posts_scans = [i for i, line in enumerate(lines) if "FileScan" in line and path[-20:] in line or f"{path}]" in line]
+    assert len(posts_scans) == 1
+    above = lines[: posts_scans[0]]
+    depth = lines[posts_scans[0]].index("FileScan")
+    semi = max(i for i, line in enumerate(above) if "BroadcastHashJoin" in line and "LeftSemi" in line)
+    shuffles = [i for i, line in enumerate(above) if "Exchange hashpartitioning(parentId" in line]
+    assert depth and shuffles and max(i for i in shuffles if i < semi) < semi
+    assert documents(made["QA"])[4] == ["count", "row", "answer", "row"]

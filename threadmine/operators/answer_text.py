@@ -8,7 +8,7 @@ answer its share of the very same cleaned text without ever putting them togethe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmine.functions.text import (
@@ -24,20 +24,30 @@ from threadmine.session import ensure_checkpoints
 # Line ends that survive the removal of control characters. "." does not match them, so a
 # code block never reaches across one.
 _LINE_END = r"[\x{85}\x{2028}\x{2029}]"
+#: Ids whose answers to one question are put together at a time.
+CONCATENATED = 1 << 12
 _OPEN, _CLOSE = "<pre>", "</pre>"
 
 
-def concatenated(answers: DataFrame) -> DataFrame:
-    """``(id, text)``: bodies of a question's answers in id order, separated by spaces."""
-    in_order = F.array_sort(F.collect_list(F.struct("id", "body")))
-    return (
-        answers.groupBy(F.col("parentId").alias("question"))
-        .agg(in_order.alias("parts"))
-        .select(
-            F.col("question").alias("id"),
-            F.concat_ws(" ", F.transform("parts", lambda p: p["body"])).alias("text"),
-        )
-    )
+def concatenated(answers: DataFrame, span: int = CONCATENATED) -> DataFrame:
+    """``(id, text)``: bodies of a question's answers in id order, separated by spaces.
+
+    First the answers in each span of ids are put together, then the texts of the spans, so
+    the answers of a question with very many of them are gathered by many tasks, and no list
+    has more entries than ids in a span, or spans.
+    """
+
+    def in_order(at: str, text: str) -> Column:
+        parts = F.array_sort(F.collect_list(F.struct(at, F.col(text).alias("text"))))
+        texts = F.concat_ws(" ", F.transform(parts, lambda p: p["text"]))
+        # null bodies leave no space
+        return F.when(F.count(text) > 0, texts).alias("text")
+
+    spans = answers.groupBy(
+        F.col("parentId").alias("question"), F.floor(F.col("id") / F.lit(span)).alias("span")
+    ).agg(in_order("id", "body"))
+    whole = spans.groupBy(F.col("question").alias("id")).agg(in_order("span", "text"))
+    return whole.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def cleaned_whole(answers: DataFrame, control_to_space: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from threadmine.operators.answer_text import cleaned_each, cleaned_in_parts, cle
 from threadmine.operators.selection import answers_of
 from threadmine.operators.skew import heavy_keys, spread_join
 
+# The columns of a corpus.
 CORPUS_COLUMNS = (
     "id", "creationDate", "score", "viewCount", "title", "document", "tags",
     "answerCount", "commentCount", "favoriteCount",
@@ -94,15 +95,18 @@ def answer_corpus(
     questions: DataFrame, answers: DataFrame, prep: TextPrep = TextPrep(),
     max_answers: int | None = None, per_answer: bool = False,
 ) -> DataFrame:
-    """A: ``(id, part, title, cleaned)``, the cleaned answers of every answered question.
+    """A: ``(id, title, cleaned)``, the cleaned answers of every answered question.
 
-    One row per question, however many answers it has, ``part`` being null. With
-    ``max_answers`` the result is that of :func:`spread_answer_corpus`.
+    One row per question, however many answers it has. With ``max_answers`` the result is that
+    of :func:`spread_answer_corpus`, which has ``part`` as well.
     """
     whole, parts, heavy = _answer_texts(questions, answers, prep, max_answers, per_answer)
     titles = questions.select("id", "title")
     columns = ("id", "part", "title", "cleaned")
-    one_row = whole.join(titles, "id", "left").withColumn("part", F.lit(None).cast("bigint"))
+    one_row = whole.join(titles, "id", "left")
+    if max_answers is None:
+        return one_row.select("id", "title", "cleaned")
+    one_row = one_row.withColumn("part", F.lit(None).cast("bigint"))
     if parts is None:
         return one_row.select(*columns)
     titled = spread_join(parts, heavy.keep(titles, "id", "id"), ["id"], "left", "part")

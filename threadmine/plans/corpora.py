@@ -14,6 +14,7 @@ from threadmine.operators.corpus import (
     title_corpus,
 )
 from threadmine.operators.selection import FIRST_YEAR, answers, since_year, tagged_questions
+from threadmine.session import fresh_path
 from threadmine.sources.corpus_files import write_corpus, write_corpus_csv
 
 KINDS = ("QT", "Q", "QA")
@@ -25,9 +26,15 @@ def corpora(
     max_answers: int | None = None, per_answer: bool = False,
 ) -> dict[str, DataFrame]:
     """The requested corpora as DataFrames, each independent of the others. With ``max_answers``
-    QA is spread: see ``spread_question_answer_corpus``."""
+    QA is spread: see ``spread_question_answer_corpus``.
+
+    The selected questions, a small part of the posts, are staged first: posts are scanned once
+    for them and, for QA, once for the answers, whatever the number of corpora.
+    """
     recent = since_year(posts, first_year)
-    asked = tagged_questions(recent, tuple(needles))
+    path = fresh_path(posts.sparkSession, "questions")
+    tagged_questions(recent, tuple(needles)).hint("rebalance").write.parquet(path)
+    asked = posts.sparkSession.read.parquet(path)
     out = {}
     for kind in kinds:
         if kind == "QT":
@@ -48,7 +55,7 @@ def build_corpora(
 ) -> dict[str, str]:
     """Write the corpora as parquet (and CSV) under ``base``; returns the parquet paths.
 
-    ``posts`` is best the parquet of ``stage_posts``: every corpus scans it anew.
+    ``posts`` is best the parquet of ``stage_posts``: it is scanned for questions and answers.
     """
     paths = {}
     for kind, corpus in corpora(posts, **settings).items():

@@ -26,6 +26,12 @@ _ONE_ELEMENT = (
     r"^\s*(<[^<]*/>|<([^\s/>]+)(?:\s[^<]*[^/<])?>"
     r"(?![\s\S]*</\2[\s>][\s\S]*</\2[\s>])[\s\S]*</\2\s*>)\s*$"
 )
+# A known attribute written with other upper and lower case letters; what stands in quotes is
+# matched first, as a whole, and kept.
+_NAMES = "|".join(ATTRIBUTES)
+_OTHER_CASE = (
+    rf"""("[^"]*"|'[^']*')|\s(?!(?:{_NAMES})\s*=)(?i:{_NAMES})\s*=\s*(?:"[^"]*"|'[^']*')"""
+)
 _WHOLE_NUMBER = r"^[+-]?[0-9]+$"
 _LOCAL_DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{0,9})?)?$"
 
@@ -39,13 +45,16 @@ def parse_posts(lines: DataFrame, value: str = "value") -> DataFrame:
 
     A line is invalid when it is not one well-formed element, when id, type, date or score
     are missing or malformed, or when a field that its post type reads is present but
-    malformed. Fields of the other post types are null, whatever the line says.
+    malformed. Fields of the other post types are null, whatever the line says. Attribute names
+    are compared to the letter, whatever the session does with column names: an attribute in
+    other case is unknown and does not count.
     """
+    exact = F.regexp_replace(F.col(value), _OTHER_CASE, "$1")
     # The one-element arrays are there for their generators: filters and projections are not
     # moved below a generator, so each line is parsed, and each field converted, just once.
     parsed = lines.select(
         F.col(value).alias("value"),
-        F.explode(F.array(F.from_xml(F.col(value), _XML_SCHEMA, _XML_OPTIONS))).alias("x"),
+        F.explode(F.array(F.from_xml(exact, _XML_SCHEMA, _XML_OPTIONS))).alias("x"),
     )
     x = {a: F.col(f"x._{a}") for a in ATTRIBUTES}
     kind = _number(x["PostTypeId"], "int")
@@ -121,9 +130,10 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
 def stage_posts(posts: DataFrame, path: str) -> DataFrame:
     """Write the parsed posts once as parquet, by year, and read them from there.
 
-    Every corpus then scans only the columns and row groups it needs instead of the XML.
+    Every corpus then scans only the columns, folders and row groups it needs instead of the
+    XML. ``creationYear`` is a column more: it names the folder, and ``since_year`` uses it.
     """
     # Rebalanced, or every task would write a file for each year.
     by_year = posts.withColumn("creationYear", F.year("creationDate"))
     by_year.hint("rebalance", "creationYear").write.mode("overwrite").partitionBy("creationYear").parquet(path)
-    return posts.sparkSession.read.parquet(path).drop("creationYear")
+    return posts.sparkSession.read.parquet(path)
