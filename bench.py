@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from checks.folders import own_folder
 from checks.queries import REGISTERED
+from threadmine.session import fresh_path
 
 HEADLINE = (
     "top_question_terms",
@@ -47,12 +49,17 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     own_folder(spark)
+    # Not counted: the given tables have one row group each, so one task would read and do all
+    # the work on it. Large tables have many.
+    tables = fresh_path(spark, "bench")
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        spark.read.parquet(str(path)).repartition(int(cpus)).write.parquet(f"{tables}/{path.name}")
     # One pass that is not counted: the first query would hold all of the warm-up.
-    REGISTERED[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    REGISTERED[names[0]](spark, tables).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         started = time.monotonic()
-        REGISTERED[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        REGISTERED[name](spark, tables).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.monotonic() - started, 3)
     spark.stop()
     print(
