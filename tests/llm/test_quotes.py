@@ -102,3 +102,42 @@ def test_parts_of_messages_are_linked(spark):
         (2, 0): (None, 0, 0),
         (2, 1): (0, 1, 0),
     }
+
+
+def test_long_messages(spark):
+    n = 50_000
+    own = "\n".join(f"line {i} of a text" for i in range(n))
+    mixed = "\n".join(f"> line {i} of a text" if i % 3 else f"said {i}" for i in range(n))
+    rows = [(1, 0, "user", own), (1, 1, "user", mixed), (1, 2, "user", ">" * n + "deep\nleft")]
+    got = {r.turn: r for r in quotes.reply_order(frame(spark, rows)).collect()}
+    assert got[0].text == own
+    assert got[1].text == "\n".join(f"said {i}" for i in range(0, n, 3))
+    # a run of two lines is found by its lines
+    assert (got[1].parent_turn, got[1].n_quotes, got[1].n_linked) == (0, n // 3 + 1, n // 3 + 1)
+    assert (got[2].text, got[2].parent_turn, got[2].n_quotes, got[2].n_linked) == ("left", 1, 1, 0)
+
+
+def test_passages(spark):
+    text = "a\r\nb\n> c\r>\n>> d\n\n"
+    row = spark.createDataFrame([(text,), ("",), (None,), (">",)], "text string")
+    got = [r.p for r in row.select(quotes.passages_of(row.text).alias("p")).collect()]
+    assert got == [["0\na\nb", "1\nc\n", "2\nd", "0\n\n"], ["0\n"], None, ["1\n"]]
+
+
+def test_rows_without_conversation_or_turn_are_parted(spark):
+    rows = [(None, i % 7, "user", f"> x\nsaid {i}") for i in range(300)]
+    rows += [(4, None, "user", f"said {i}") for i in range(300)] + [(4, 2, "user", "one")]
+    got = quotes.reply_order(frame(spark, rows)).collect()
+    for conv, n in ((None, 300), (4, 301)):
+        own = [r for r in got if r.conv_id == conv]
+        assert sorted(r.position for r in own) == list(range(n))
+        assert all(r.parent_turn is None for r in own)
+    turns = [r.turn for r in sorted(got, key=lambda r: r.position) if r.conv_id is None]
+    assert turns == sorted(turns)
+
+
+def test_many_answers_to_one_message(spark):
+    rows = [(9, 0, "user", "The question.")]
+    rows += [(9, t, "user", f"> The question.\nanswer {t}") for t in range(1, 200)]
+    got = quotes.reply_order(frame(spark, rows), span=8).collect()
+    assert all(r.parent_turn == (0 if r.turn else None) and r.position == r.turn for r in got)
