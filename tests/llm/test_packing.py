@@ -93,3 +93,47 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     for text in ("some words are here, and more.", "others are here", "some words, then"):
         want = whole.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(by_word([text])[0], "<u4").tolist() == want
+
+
+def largest_groups(monkeypatch):
+    seen, pack_groups = [], packing._pack_groups
+
+    def watched(grouped, most):
+        seen.append(max((r["count"] for r in grouped.groupBy("group").count().collect()), default=0))
+        return pack_groups(grouped, most)
+
+    monkeypatch.setattr(packing, "_pack_groups", watched)
+    return seen
+
+
+def synthetic(spark, n, doc_id, length):
+    return spark.range(0, n, 1, 8).selectExpr(
+        f"cast({doc_id} as long) as doc_id", "0 as piece", "0L as start",
+        f"cast({length} as long) as length", "7L as ids_crc32",
+    )
+
+
+def check_places(got, most):
+    own = got.sort_values(["sequence_id", "offset"])
+    before = own.groupby("sequence_id")["length"].cumsum() - own["length"]
+    assert (before == own["offset"]).all()
+    assert own.groupby("sequence_id")["length"].sum().max() <= most
+
+
+def test_equal_rows_are_no_hot_group(spark, monkeypatch):
+    seen = largest_groups(monkeypatch)
+    got = packing.pack(synthetic(spark, 60_000, "null", "50"), 100, group=2048).toPandas()
+    check_places(got, 100)
+    assert len(got) == 60_000 and got["sequence_id"].nunique() == 30_000
+    assert max(seen) < 2 * 2048
+
+
+def test_half_full_sequences_are_no_hot_group(spark, monkeypatch):
+    seen = largest_groups(monkeypatch)
+    pieces = synthetic(spark, 30_000, "id", "900 + pmod(xxhash64(id), 1148)")
+    got = packing.pack(pieces, 2048, group=1024).toPandas()
+    check_places(got, 2048)
+    assert len(got) == 30_000 and max(seen) < 2 * 1024 and len(seen) >= 2
+    lengths = got["length"].sort_values(ascending=False).to_numpy()
+    whole = packing.best_fit_decreasing(lengths, 2048)[0].max() + 1
+    assert got["sequence_id"].nunique() <= whole * 1.01

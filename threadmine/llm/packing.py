@@ -5,9 +5,11 @@ packed by best-fit decreasing: the longest piece first, each into the tightest s
 still has room. A segment tree over remaining capacities finds that sequence in
 logarithmic time.
 
-Packing runs in groups of about ``GROUP`` pieces, dealt by hash, so no task holds more than
-that whatever the size of the corpus or of a document. A group leaves a few sequences partly
-filled; these are packed once more, as whole items, in groups of their own.
+Packing runs in groups of about ``GROUP`` pieces, dealt by a hash of the piece and its row's
+number, so no task holds more than that whatever the size of the corpus or of a document, and
+however many rows are equal. A group leaves some sequences partly filled; these are packed
+again, as whole items, in as many groups of that size as there are of them, and dealt anew as
+long as a round saves a sequence in ``WORTHWHILE``.
 
 Defined results: a null or empty text is one piece with the end id alone; a null ``doc_id``
 is kept; repeated rows are packed once each; an empty table gives an empty result; columns
@@ -36,6 +38,8 @@ END_ID = 0
 GROUP = 2048
 #: A sequence less full than this is packed again with those of other groups.
 FULL_ENOUGH = 0.98
+#: A round that saves fewer sequences than one in this many is the last one.
+WORTHWHILE = 50
 #: Words a worker remembers the ids of; all are forgotten when there are more.
 REMEMBERED = 1 << 19
 
@@ -213,26 +217,16 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, group: int = GROUP) ->
     Offsets have no gaps: a sequence's pieces stand one after the other from 0.
     """
     ensure_checkpoints(pieces.sparkSession)
-    staged = pieces.select(*_PIECES.names).checkpoint()
+    # The number is stored with the row, so that a lost task is repeated with the same one.
+    numbered = pieces.select(*_PIECES.names).withColumn("number", F.monotonically_increasing_id())
+    staged = numbered.checkpoint()
     groups = max(1, math.ceil(staged.count() / group))
-    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
-    first = _pack_groups(staged.withColumn("group", dealt), max_tokens).checkpoint()
-
-    loose = first.filter(
-        (F.col("offset") == 0) & (F.col("used") < F.lit(int(max_tokens * FULL_ENOUGH)))
-    ).select(
-        F.col("bin").alias("doc_id"),
-        F.lit(0).alias("piece"),
-        F.lit(0).cast("long").alias("start"),
-        F.col("used").alias("length"),
-        F.lit(0).cast("long").alias("ids_crc32"),
-        F.pmod(F.xxhash64("bin"), F.lit(math.ceil(groups / group))).alias("group"),
-    )
-    merged = _pack_groups(loose, max_tokens).select(
-        F.col("doc_id").alias("bin"),
-        F.col("leader").alias("merged_bin"),
-        F.col("offset").alias("base"),
-    )
+    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "number"), F.lit(groups))
+    first = _pack_groups(
+        staged.withColumn("group", dealt).drop("number"), max_tokens
+    ).checkpoint()
+    opened = first.filter("offset = 0").select("bin", "used")
+    merged = _merge_loose(opened, max_tokens, group)
     return first.join(merged, "bin", "left").select(
         *_PIECES.names,
         F.coalesce("merged_bin", "bin").alias("sequence_id"),
@@ -240,6 +234,51 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, group: int = GROUP) ->
     )
 
 
+def _merge_loose(opened: DataFrame, max_tokens: int, group: int) -> DataFrame:
+    """Pack sequences that are not ``FULL_ENOUGH`` as whole items, in rounds: each such ``bin``
+    with its ``merged_bin`` and the place ``base`` there. ``opened`` has (``bin``, ``used``)."""
+    room_left = F.col("used") < F.lit(int(max_tokens * FULL_ENOUGH))
+    merged, turn = None, 0
+    while True:
+        loose = opened.filter(room_left)
+        n = loose.count()
+        groups = max(1, math.ceil(n / group))
+        packed = (
+            _pack_groups(
+                loose.select(
+                    F.col("bin").alias("doc_id"),
+                    F.lit(0).alias("piece"),
+                    F.lit(0).cast("long").alias("start"),
+                    F.col("used").alias("length"),
+                    F.lit(0).cast("long").alias("ids_crc32"),
+                    F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)).alias("group"),
+                ),
+                max_tokens,
+            )
+            .select(
+                F.col("doc_id").alias("bin"),
+                F.col("leader").alias("merged_bin"),
+                F.col("offset").alias("base"),
+                "used",
+            )
+            .checkpoint()
+        )
+        moves = packed.select("bin", "merged_bin", "base")
+        if merged is None:
+            merged = moves
+        else:
+            further = moves.toDF("merged_bin", "last_bin", "more")
+            merged = merged.join(further, "merged_bin", "left").select(
+                "bin",
+                F.coalesce("last_bin", "merged_bin").alias("merged_bin"),
+                (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"),
+            )
+        opened = packed.filter("base = 0").select("bin", "used")
+        if groups == 1 or (n - opened.count()) * WORTHWHILE < n:
+            return merged
+        turn += 1
+
+
 def _pack_groups(grouped: DataFrame, max_tokens: int) -> DataFrame:
     """Best-fit decreasing in every ``group``: each item's ``bin`` and ``offset``, what its bin
     holds in all (``used``) and the ``doc_id`` of the bin's first item (``leader``)."""
