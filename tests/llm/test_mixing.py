@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadmine.llm import mixing
 
@@ -62,14 +63,43 @@ def test_weights_budget_and_passes(spark):
 
 
 def test_the_last_pass_is_a_prefix_of_its_permutation(spark):
-    got = mixing.mix(frame(spark, corpus()), repetitions=1.5).collect()
-    whole = [r for r in got if r.source == "small"]
-    second = {r.doc_id for r in whole if r.mixing_pass == 1}
-    blocks = defaultdict(set)
-    for r in whole:
-        if r.mixing_pass == 0:
-            blocks[r.doc_id].add(r.mixing_block)
-    assert 0 < len(second) < len({r.doc_id for r in whole})
+    docs = frame(spark, corpus())
+    got = mixing.mix(docs, repetitions=1.5).collect()
+    totals = tokens(corpus())
+    x, total = brute_exponent(totals, 1.5), sum(totals.values())
+    z = sum((t / total) ** x for t in totals.values() if t)
+    # Every row's place in the second pass, drawn or not.
+    row = F.xxhash64(*docs.columns)
+    block = F.pmod(F.xxhash64(F.lit(mixing.SEED), row), F.lit(mixing.BLOCKS))
+    order = [F.xxhash64(block, F.lit(1), F.lit(mixing.SEED)), block, F.xxhash64(row, F.lit(1)), row]
+    for source in ("small", "mid"):
+        second = Counter(r.doc_id for r in got if r.source == source and r.mixing_pass == 1)
+        rest = (totals[source] / total) ** x / z * total - totals[source]
+        assert 0 < rest < totals[source]
+        spent, taken = 0, Counter()
+        rows = docs.filter(F.col("source") == source).select("doc_id", "text", row.alias("row"), *[
+            o.alias(f"o{i}") for i, o in enumerate(order)
+        ]).orderBy("o0", "o1", "o2", "o3").collect()
+        for key in dict.fromkeys(r.row for r in rows):
+            same = [r for r in rows if r.row == key]
+            spent += sum(len((r.text or "").split()) for r in same)
+            if spent > rest:
+                break
+            taken.update(r.doc_id for r in same)
+        assert second == taken
+
+
+def test_columns_with_the_names_of_the_new_ones(spark):
+    docs = frame(spark, corpus()).selectExpr(
+        "*", "1 as mixing_weight", "source as Mixing_source", "2 as mixing_row", "3 as `a.b`"
+    )
+    out = mixing.mix(docs, repetitions=1.5)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.columns[-1] == "mixing_mixing_rank" and len(set(out.columns)) == len(out.columns)
+    rows = out.collect()
+    assert {(r.mixing_weight, r.mixing_row, r["a.b"]) for r in rows} == {(1, 2, 3)}
+    assert all(r.Mixing_source == r.source for r in rows)
+    assert mixing.mixed_documents(docs).columns == docs.columns
 
 
 def test_cover_keeps_every_row(spark):

@@ -18,7 +18,8 @@ of the sources only sums over all of them.
 Defined results: a null source is a source of its own; null or empty texts have no tokens and
 go along with their blocks; a source without any token is read once; rows that agree in all
 columns are drawn together; an empty table gives an empty result; columns of ``docs`` are kept
-as they are, whatever their names.
+as they are, whatever their names: if one begins with ``mixing_``, the new ones begin with
+``mixing_mixing_``, and so on until none of the table's does.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadmine.llm.naming import exact, free_prefix
 from threadmine.session import ensure_checkpoints
 
 BLOCKS = 256
@@ -41,11 +43,6 @@ TRIED, ROUNDS = 15, 9
 PREFIX = "mixing_"
 
 
-def source_totals(rows: DataFrame) -> DataFrame:
-    """``mixing_source`` (a null one is no string) and its ``tokens``."""
-    return rows.groupBy(f"{PREFIX}source").agg(F.sum(f"{PREFIX}tokens").alias("tokens"))
-
-
 def _sums(totals: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
     """For every exponent: the sum of the powers of the shares, the entropy of the weights,
     and the most that a weight exceeds its source's share."""
@@ -110,19 +107,20 @@ def mix(
     """
     spark = docs.sparkSession
     ensure_checkpoints(spark)
-    src, tokens, block = (f"{PREFIX}{c}" for c in ("source", "tokens", "block"))
-    row_key = F.xxhash64(*[F.col(c) for c in docs.columns])
+    prefix, kept = free_prefix(PREFIX, docs.columns), exact(docs.columns)
+    src, tokens, block = (f"{prefix}{c}" for c in ("source", "tokens", "block"))
+    row_key = F.xxhash64(*kept)
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
     rows = docs.withColumns(
         {
             src: F.concat(F.lit("="), F.col(source).cast("string")),
             tokens: words.cast("long"),
-            f"{PREFIX}row": row_key,
+            f"{prefix}row": row_key,
             block: F.pmod(F.xxhash64(F.lit(SEED), row_key), F.lit(BLOCKS)),
         }
     ).withColumn(src, F.coalesce(src, F.lit("")))
 
-    thin = rows.select(src, block, f"{PREFIX}row", tokens).checkpoint()
+    thin = rows.select(src, block, f"{prefix}row", tokens).checkpoint()
     blocks = thin.groupBy(src, block).agg(F.sum(tokens).alias("tokens")).checkpoint()
     totals = blocks.groupBy(src).agg(F.sum("tokens").alias("tokens"))
     total = totals.agg(F.sum("tokens")).first()[0] or 0
@@ -160,21 +158,21 @@ def mix(
         .select(
             src,
             block,
-            F.col("weight").alias(f"{PREFIX}weight"),
-            F.col("passes").alias(f"{PREFIX}passes"),
-            ((F.col("end") <= F.col("rest")) & (F.col("rest") >= 1)).alias(f"{PREFIX}whole"),
+            F.col("weight").alias(f"{prefix}weight"),
+            F.col("passes").alias(f"{prefix}passes"),
+            ((F.col("end") <= F.col("rest")) & (F.col("rest") >= 1)).alias(f"{prefix}whole"),
             # What the block in which the budget ends may still spend; others: nothing.
             F.greatest(F.col("rest") - (F.col("end") - F.col("tokens")), F.lit(0.0)).alias(
-                f"{PREFIX}left"
+                f"{prefix}left"
             ),
         )
         .checkpoint()
     )
-    whole, left, passes = (F.col(f"{PREFIX}{c}") for c in ("whole", "left", "passes"))
-    edge = parts.filter(~whole & (left > 0)).drop(f"{PREFIX}weight")
-    key = [src, block, f"{PREFIX}row"]
+    whole, left, passes = (F.col(f"{prefix}{c}") for c in ("whole", "left", "passes"))
+    edge = parts.filter(~whole & (left > 0)).drop(f"{prefix}weight")
+    key = [src, block, f"{prefix}row"]
     in_block = W.partitionBy(src, block).orderBy(
-        F.xxhash64(f"{PREFIX}row", passes), f"{PREFIX}row"
+        F.xxhash64(f"{prefix}row", passes), f"{prefix}row"
     )
     drawn = (
         thin.join(edge, [src, block])
@@ -182,24 +180,24 @@ def mix(
         .filter(F.col("end") <= left)
         .select(*key)
         .distinct()
-        .withColumn(f"{PREFIX}drawn", F.lit(True))
+        .withColumn(f"{prefix}drawn", F.lit(True))
     )
     placed = rows.join(parts, [src, block]).join(drawn, key, "left")
-    last = whole | F.coalesce(f"{PREFIX}drawn", F.lit(False))
+    last = whole | F.coalesce(f"{prefix}drawn", F.lit(False))
     number = passes + last.cast("int")
     return (
         placed.filter(number > 0)
-        .withColumn(f"{PREFIX}pass", F.explode(F.sequence(F.lit(0), number - 1)))
+        .withColumn(f"{prefix}pass", F.explode(F.sequence(F.lit(0), number - 1)))
         .select(
-            *docs.columns,
-            f"{PREFIX}weight",
-            f"{PREFIX}pass",
-            F.xxhash64(block, f"{PREFIX}pass", F.lit(SEED)).alias(f"{PREFIX}block"),
-            F.xxhash64(f"{PREFIX}row", f"{PREFIX}pass").alias(f"{PREFIX}rank"),
+            *kept,
+            f"{prefix}weight",
+            f"{prefix}pass",
+            F.xxhash64(block, f"{prefix}pass", F.lit(SEED)).alias(f"{prefix}block"),
+            F.xxhash64(f"{prefix}row", f"{prefix}pass").alias(f"{prefix}rank"),
         )
     )
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix with the columns of ``docs`` alone."""
-    return mix(docs, **settings).select(docs.columns)
+    return mix(docs, **settings).select(exact(docs.columns))
