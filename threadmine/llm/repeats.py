@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmine.llm.memory import released
+from threadmine.llm.naming import exact, free_prefix
 from threadmine.session import ensure_checkpoints, fresh_path
 
 WINDOW = 200
@@ -482,11 +483,13 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     Bytes of a character that is cut in the middle go as well. A null text stays null.
     """
     own = _digest(F.coalesce(F.col(text), F.lit("")))
-    key, found = "repeats_digest", "repeats_stretches"
+    prefix = free_prefix("repeats_", docs.columns)
+    key, found = f"{prefix}digest", f"{prefix}stretches"
     stretches = repeated_stretches(_text_rows(docs, text), window).select(
         F.col("digest").alias(key), F.col("stretches").alias(found)
     )
-    joined = docs.withColumn(key, own).join(stretches, key, "left").select(*docs.columns, found)
+    joined = docs.withColumn(key, own).join(stretches, key, "left")
+    joined = joined.select(*exact(docs.columns), found)
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
