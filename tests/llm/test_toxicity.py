@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from threadmine.llm import toxicity
+from threadmine.llm import naming, toxicity
 
 
 def fold(key):
@@ -72,3 +72,12 @@ def test_risk_gradient_leads_to_a_separating_word():
     rows = [np.array([0] if p or rng.random() < 0.1 else [1]) for p in positive]
     w, b = toxicity.fit_risk(rows, positive, 2, 0.1)
     assert w[0] + b > 0 > w[1] + b
+
+
+def test_samples_are_bounded_in_rows(spark):
+    rows = spark.range(0, 40_000, 1, 4).selectExpr("5L as doc_id", "cast(id % 20000 as string) as text")
+    got = naming.drawn(rows, 0.1, 3).collect()
+    assert len(set(got)) == len(got) and 1_700 < len(got) < 2_300
+    same = spark.range(0, 40_000, 1, 4).selectExpr("5L as doc_id", "'x' as text")
+    assert naming.drawn(same, 1.0, 3).count() == 1
+    assert naming.drawn(rows.limit(0), 0.5, 3).count() == 0

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmine.llm.naming import drawn
 from threadmine.llm.toxicity import in_fold
 
 SEGMENT = 64
@@ -245,25 +246,24 @@ def train(docs: DataFrame, text: str = "text", folds: int = 4, held_out: int = 2
         & (in_fold("doc_id", folds) != held_out)
     )
     share = min(1.0, SAMPLE / max(1, rows.select("doc_id").count()))
-    u = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 32)) / F.lit(float(1 << 32))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, drawn = [], []
+            languages, chosen = [], []
             for key, name, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if has_letter(own):
                     parts = cut(own)
                     rng = np.random.default_rng([SEED, key & 0xFFFFFFFF])
                     for i in rng.permutation(len(parts))[:DRAWN]:
                         languages.append(name)
-                        drawn.append(parts[i])
+                        chosen.append(parts[i])
             yield pa.record_batch(
-                [pa.array(languages, pa.string()), pa.array(drawn, pa.binary())],
+                [pa.array(languages, pa.string()), pa.array(chosen, pa.binary())],
                 ["lang", "segment"],
             )
 
-    drawn = rows.filter(u < share).select(F.col("doc_id").cast("long"), "lang", text)
-    sample = drawn.mapInArrow(segments, "lang string, segment binary").toPandas()
+    labelled = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", text)
+    sample = drawn(labelled, share, SEED).mapInArrow(segments, "lang string, segment binary").toPandas()
     if sample.empty:
         return None
     sample = sample.sort_values(["lang", "segment"], ignore_index=True)

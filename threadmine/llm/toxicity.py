@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmine.llm.memory import released
+from threadmine.llm.naming import drawn
 
 POSITIVES = 3_000
 UNLABELLED = 9_000
@@ -135,12 +136,13 @@ def train(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.filter(F.col("doc_id").isNotNull() & (in_fold() != held_out))
     total = max(1, docs.count())
-    # About POSITIVES ids, and rows drawn before the join: both sides are bounded.
-    toxic = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(
-        F.lit(1).alias("toxic"), "text"
-    )
-    drawn = rows.filter(_share("doc_id", min(1.0, UNLABELLED / total), SEED + 1))
-    other = drawn.join(known.filter("toxic = 1"), "doc_id", "left_anti").select(
+    # About POSITIVES ids, and rows drawn before the join: both sides are bounded. The rows
+    # of an id are counted too, so that one with very many does not come whole.
+    positives = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
+    most = min(1.0, POSITIVES / max(1, positives.count()))
+    toxic = drawn(positives, most, SEED).select(F.lit(1).alias("toxic"), "text")
+    others = drawn(rows, min(1.0, UNLABELLED / total), SEED + 1)
+    other = others.join(known.filter("toxic = 1"), "doc_id", "left_anti").select(
         F.lit(0).alias("toxic"), "text"
     )
     sets = toxic.unionByName(other).mapInArrow(released(_word_sets), "toxic int, words array<binary>")
