@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadmine.operators import corpus as corpora
-from threadmine.operators import selection, skew, terms, topics
+from threadmine.operators import selection, skew, stop_words, terms, topics
 from threadmine.operators.answer_text import concatenated
 from threadmine.plans.corpora import build_corpora
 from threadmine.plans.corpora import corpora as corpora_of
@@ -253,3 +253,35 @@ def test_answers_are_filtered_before_their_texts_are_shuffled(spark, tmp_path):
     shuffles = [i for i, line in enumerate(above) if "Exchange hashpartitioning(parentId" in line]
     assert depth and shuffles and max(i for i in shuffles if i < semi) < semi
     assert documents(made["QA"])[4] == ["count", "row", "answer", "row"]
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_stop_words_in_a_table_of_any_length(spark, parts, stem):
+    asked, answered = parts
+    listed = spark.createDataFrame([(" The ",), ("tables",), ("row",), ("",), (None,)], "word string")
+    many = listed.union(spark.range(150_000).selectExpr("concat('zz', cast(id as string))"))
+    prep = corpora.TextPrep(stop_words=("the", "tables", "row"), stem=stem)
+    long = corpora.TextPrep(stop_words=many, stem=stem)
+    for build in (corpora.title_corpus, corpora.question_corpus):
+        assert build(asked, long).columns == build(asked, prep).columns
+        assert documents(build(asked, long)) == documents(build(asked, prep))
+    for most in (None, 1):
+        want, got = (
+            corpora.question_answer_corpus(asked, answered, p, most).collect() for p in (prep, long)
+        )
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    with pytest.raises(TypeError):
+        long.document("title")
+
+
+def test_listed_words_leave_by_position(spark):
+    rows = [(1, 0, ["A", "b", "a", "c"]), (1, 1, ["a"]), (2, 0, []), (3, 0, None), (4, 0, ["b", "b"])]
+    df = spark.createDataFrame(rows, "id long, part int, words array<string>")
+    words = spark.createDataFrame([("a",), ("A",)], "w string")
+    got = stop_words.remove_listed_words(df, "words", words, ["id", "part"])
+    assert got.columns == df.columns
+    assert {(r.id, r.part): r.words for r in got.collect()} == {
+        (1, 0): ["b", "c"], (1, 1): [], (2, 0): [], (3, 0): None, (4, 0): ["b", "b"],
+    }
+    assert stop_words.remove_listed_words(df.limit(0), "words", words, ["id", "part"]).count() == 0
+    assert stop_words.remove_listed_words(df, "words", words.limit(0), ["id", "part"]).count() == 5

@@ -116,7 +116,8 @@ def word_list(words: Iterable[str] | DataFrame) -> list[str]:
     out = list(dict.fromkeys(w.strip().lower() for w in words if w.strip()))
     if len(out) > STOP_WORD_LIMIT:
         raise ValueError(
-            f"more than {STOP_WORD_LIMIT} stop words: use remove_words_by_join instead"
+            f"more than {STOP_WORD_LIMIT} stop words: use a table of them (TextPrep, "
+            "remove_listed_words, remove_words_by_join)"
         )
     return out
 

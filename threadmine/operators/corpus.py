@@ -18,6 +18,7 @@ from threadmine.functions.text import (
 from threadmine.operators.answer_text import cleaned_each, cleaned_in_parts, cleaned_whole
 from threadmine.operators.selection import answers_of
 from threadmine.operators.skew import heavy_keys, spread_join
+from threadmine.operators.stop_words import remove_listed_words
 
 # The columns of a corpus.
 CORPUS_COLUMNS = (
@@ -29,9 +30,13 @@ MAX_ANSWERS = 2_000
 
 @dataclass(frozen=True)
 class TextPrep:
-    """How cleaned text becomes a document."""
+    """How cleaned text becomes a document.
 
-    stop_words: tuple[str, ...] = ()
+    Stop words are a tuple, which becomes part of the expressions, or a table of any length
+    with the words in its first column, which is joined.
+    """
+
+    stop_words: tuple[str, ...] | DataFrame = ()
     min_length: int = 2
     stem: bool = True
     control_to_space: bool = False
@@ -40,17 +45,27 @@ class TextPrep:
         return clean_document(text, self.control_to_space)
 
     def document(self, cleaned: str | Column) -> Column:
-        """Tokens of already cleaned text, without stop words, stemmed."""
+        """Tokens of already cleaned text, without stop words, stemmed. For a tuple of them."""
+        if isinstance(self.stop_words, DataFrame):
+            raise TypeError("stop words in a table need with_document")
         words = remove_words(tokenize(cleaned, self.min_length), self.stop_words)
         return stem_words(words) if self.stem else words
 
+    def with_document(self, df: DataFrame, cleaned: str | Column, *keys: str) -> DataFrame:
+        """Add ``document``, made of already cleaned text; ``keys`` tell the rows apart."""
+        if not isinstance(self.stop_words, DataFrame):
+            return df.withColumn("document", self.document(cleaned))
+        tokens = df.withColumn("document", tokenize(cleaned, self.min_length))
+        left = remove_listed_words(tokens, "document", self.stop_words, keys)
+        return left.withColumn("document", stem_words("document")) if self.stem else left
+
 
 def title_and_body() -> Column:
     return F.concat("title", F.lit(" "), "body")
 
 
 def _as_corpus(questions: DataFrame, cleaned: Column, prep: TextPrep) -> DataFrame:
-    return questions.withColumn("document", prep.document(cleaned)).select(*CORPUS_COLUMNS)
+    return prep.with_document(questions, cleaned, "id").select(*CORPUS_COLUMNS)
 
 
 def title_corpus(questions: DataFrame, prep: TextPrep = TextPrep()) -> DataFrame:
@@ -125,24 +140,17 @@ def question_answer_corpus(
     whole, parts, heavy = _answer_texts(questions, answers, prep, max_answers, per_answer)
     asked = questions.withColumn("question_text", prep.clean(title_and_body()))
     together = F.concat("question_text", F.lit(" "), F.coalesce("cleaned", F.lit("")))
-    one_row = (
-        (asked if heavy is None else heavy.drop(asked, "id", "id"))
-        .join(whole, "id", "left")
-        .withColumn("document", prep.document(together))
-        .select(*CORPUS_COLUMNS)
-    )
+    light = asked if heavy is None else heavy.drop(asked, "id", "id")
+    one_row = prep.with_document(light.join(whole, "id", "left"), together, "id")
+    one_row = one_row.select(*CORPUS_COLUMNS)
     if heavy is None:
         return one_row
     one_row = one_row.withColumn("part", F.lit(None).cast("bigint"))
     if parts is None:
         return one_row
-    heads = (
-        heavy.keep(asked, "id", "id")
-        .withColumn("part", F.lit(0).cast("bigint"))
-        .withColumn("document", prep.document("question_text"))
-        .select(*CORPUS_COLUMNS, "part")
-    )
-    rest = parts.select("id", "part", prep.document("cleaned").alias("document"))
+    first = heavy.keep(asked, "id", "id").withColumn("part", F.lit(0).cast("bigint"))
+    heads = prep.with_document(first, "question_text", "id").select(*CORPUS_COLUMNS, "part")
+    rest = prep.with_document(parts, "cleaned", "id", "part").select("id", "part", "document")
     return one_row.unionByName(heads).unionByName(rest, allowMissingColumns=True)
 
 
