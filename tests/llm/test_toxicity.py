@@ -81,3 +81,55 @@ def test_samples_are_bounded_in_rows(spark):
     same = spark.range(0, 40_000, 1, 4).selectExpr("5L as doc_id", "'x' as text")
     assert naming.drawn(same, 1.0, 3).count() == 1
     assert naming.drawn(rows.limit(0), 0.5, 3).count() == 0
+
+
+def risk(logit, positive, prior):
+    """The two parts of the non-negative risk, from its formula."""
+    plus, minus = np.log1p(np.exp(-logit)), np.log1p(np.exp(logit))
+    corrected = minus[~positive].mean() - prior * minus[positive].mean()
+    return prior * plus[positive].mean(), corrected
+
+
+def first_move(rows, positive, width, prior, monkeypatch):
+    """Weights and bias after one step: each moves by the rate against its gradient's sign."""
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    w, b = toxicity.fit_risk(rows, positive, width, prior)
+    return np.append(w, b)
+
+
+def differences(rows, positive, width, goal):
+    """Gradient of ``goal`` at zero weights, by central differences."""
+    table = np.zeros((len(rows), width + 1))
+    table[:, width] = 1
+    for i, row in enumerate(rows):
+        np.add.at(table[i], row, 1)
+    out = []
+    for at in range(width + 1):
+        step = np.zeros(width + 1)
+        step[at] = 1e-5
+        out.append((goal(table @ step, positive) - goal(table @ -step, positive)) / 2e-5)
+    return np.array(out)
+
+
+def test_first_step_goes_against_the_gradient_of_the_risk(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [rng.choice(6, rng.integers(1, 5), replace=False) for _ in range(200)]
+    positive = np.arange(200) < 50
+    # At zero weights every loss is log 2, so the correction is positive below a prior of 1.
+    want = differences(rows, positive, 6, lambda x, p: sum(risk(x, p, 0.3)))
+    got = first_move(rows, positive, 6, 0.3, monkeypatch)
+    assert np.abs(want).min() > 1e-4
+    assert np.allclose(got, -toxicity.RATE * np.sign(want), rtol=1e-3)
+
+
+def test_a_negative_correction_is_undone(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [rng.choice(6, rng.integers(1, 5), replace=False) for _ in range(200)]
+    positive = np.arange(200) < 50
+    # A prior over 1 makes the correction negative at zero weights: its sign is then turned,
+    # and the risk of the positives is left out of the step.
+    assert risk(np.zeros(200), positive, 1.5)[1] < 0
+    want = differences(rows, positive, 6, lambda x, p: -risk(x, p, 1.5)[1])
+    got = first_move(rows, positive, 6, 1.5, monkeypatch)
+    assert np.abs(want).min() > 1e-4
+    assert np.allclose(got, -toxicity.RATE * np.sign(want), rtol=1e-3)
