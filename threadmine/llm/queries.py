@@ -89,7 +89,8 @@ def op8_nonnegative_pu(spark, sf_dir):
 
 @query
 def op9_minhash(spark, sf_dir):
-    return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints, and classes by signature bands and verified Jaccard similarity."""
+    return minhash.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
 @query
