@@ -51,13 +51,14 @@ def model_corpus(
     spark = corpus.sparkSession
     removed = without_domain_words(corpus, domain_words)
     started = time.monotonic()
-    vectorizer = fit_vectorizer(removed, min_documents)
+    vectorizer = fit_vectorizer(removed, min_documents, as_table=True)
     # every iteration of every fit reads the vectors; lost cache blocks come back from the
     # checkpoint
     fixed = fix_rows(vectorize(vectorizer, removed)).persist(StorageLevel.MEMORY_AND_DISK)
     prepared = time.monotonic() - started
     documents = corpus_size(corpus).first()[0]
     terms = vocabulary_table(spark, vectorizer)
+    size = terms.count()
     try:
         for k in topic_counts:
             started = time.monotonic()
@@ -72,7 +73,7 @@ def model_corpus(
             ).checkpoint()  # made here, so that the time of the run has it
             seconds = prepared + time.monotonic() - started
             statistics = reports.run_statistics(
-                spark, corpus_id, documents, len(vectorizer.vocabulary), k, fitted.alpha,
+                spark, corpus_id, documents, size, k, fitted.alpha,
                 fitted.beta, iterations, seconds,
             )
             yield ModelRun(fitted, path, weights, report, statistics)
