@@ -52,9 +52,11 @@ def model_corpus(
     removed = without_domain_words(corpus, domain_words)
     started = time.monotonic()
     vectorizer = fit_vectorizer(removed, min_documents, as_table=True)
-    # every iteration of every fit reads the vectors; lost cache blocks come back from the
-    # checkpoint
-    fixed = fix_rows(vectorize(vectorizer, removed)).persist(StorageLevel.MEMORY_AND_DISK)
+    fixed = fix_rows(vectorize(vectorizer, removed))
+    if optimizer != "em":
+        # every iteration of every fit reads the vectors; lost cache blocks come back from the
+        # checkpoint. An em fit reads them at its start only, and needs the memory for its graph.
+        fixed = fixed.persist(StorageLevel.MEMORY_AND_DISK)
     prepared = time.monotonic() - started
     documents = corpus_size(corpus).first()[0]
     terms = vocabulary_table(spark, vectorizer)
