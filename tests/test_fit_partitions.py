@@ -24,3 +24,22 @@ def test_rows_without_cells(spark):
     empty = spark.createDataFrame([(1, Vectors.sparse(3, [], []))], ["id", "features"])
     assert topics.fix_rows(empty).count() == 1
     assert topics.fix_rows(empty.limit(0)).count() == 0
+
+
+def test_saved_graph_is_read_in_small_splits(spark, fixed, tmp_path, monkeypatch):
+    fitted = topics.fit_topics(fixed, 3, "em", iterations=2, seed=1)
+    path = topics.save_model(fitted, str(tmp_path), "x")
+    name, context = "spark.sql.files.maxPartitionBytes", spark.sparkContext
+    before = spark.conf.get(name)
+    monkeypatch.setattr(topics, "PART_BYTES", 1000)
+    read = topics.read_model(spark, path)
+    assert spark.conf.get(name) == before
+    context.setJobGroup("described", "")
+    try:
+        assert read.describeTopics(2).count() == 3
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("described") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [found.numTasks for found in map(tracker.getStageInfo, stages) if found]
+    assert max(tasks) >= 12  # one for each file of the graph at least
