@@ -137,3 +137,14 @@ def test_half_full_sequences_are_no_hot_group(spark, monkeypatch):
     lengths = got["length"].sort_values(ascending=False).to_numpy()
     whole = packing.best_fit_decreasing(lengths, 2048)[0].max() + 1
     assert got["sequence_id"].nunique() <= whole * 1.01
+
+
+def test_one_text_at_a_time_is_remembered(monkeypatch):
+    """More texts in a call do not make a worker remember more words."""
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    by_word, whole = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"Word{a}{b}. {a}{b}, {b}{a} É{a}{b}. x!{a}. it's. ... A," for a in letters for b in letters]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in by_word(texts)] == want
+    assert len(by_word.known) < 100

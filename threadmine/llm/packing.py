@@ -21,9 +21,9 @@ from __future__ import annotations
 import math
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ GROUP = 2048
 FULL_ENOUGH = 0.98
 #: A round that saves fewer sequences than one in this many is the last one.
 WORTHWHILE = 50
-#: Words a worker remembers the ids of; all are forgotten when there are more.
+#: Words a worker remembers the ids of; all are forgotten at the next text when there are more.
 REMEMBERED = 1 << 19
 
 _PIECES = pa.schema(
@@ -100,6 +100,17 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
+class Remembered(dict):
+    """Values by key, made by ``make`` where a key is new."""
+
+    def __init__(self, make: Callable[[bytes], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: bytes) -> bytes:
+        self[key] = made = self.make(key)
+        return made
+
+
 class WordIds:
     """Token ids of texts, word by word.
 
@@ -117,7 +128,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Remembered(self._new)
         # Byte-level models name a byte by its character if that is printable, and else by
         # the next free one from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -132,37 +143,30 @@ class WordIds:
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        wanted = set(words)
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = wanted
-        known, rest = self.known, []
-        for word in new:
-            core = word.lower()
-            mark = core[-1:] if core.endswith((b".", b",")) else b""
-            core = core.removesuffix(mark)
-            text = core.decode().lower()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _new(self, word: bytes) -> bytes:
+        core = word.lower()
+        mark = core[-1:] if core.endswith((b".", b",")) else b""
+        core = core.removesuffix(mark)
+        text = core.decode()
+        if not core.isalpha():  # ASCII letters are plain and name themselves
+            text = text.lower()
             if not self.PLAIN.fullmatch(text):
-                rest.append(word)
-                continue
-            if core not in known:
-                text = text.encode().decode("latin-1").translate(self.byte_names)
-                known[core] = self._packed([t.id for t in self.tokenizer.model.tokenize(text)])
-            if mark and mark not in known:
-                known[mark] = self._packed(self._encode([mark.decode()])[0])
-            known[word] = known[core] + known[mark] if mark else known[core]
-        for word, ids in zip(rest, self._encode([w.decode() for w in rest]), strict=True):
-            known[word] = self._packed(ids)
+                return self._packed(self._encode([word.decode()])[0])
+            text = text.encode().decode("latin-1").translate(self.byte_names)
+        if core != word:
+            return self.known[core] + self.known[mark] if mark else self.known[core]
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(text)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [text.encode().split() for text in texts]
-        self.learn(chain.from_iterable(words))
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+        known, found = self.known, []
+        for text in texts:
+            if len(known) > REMEMBERED:
+                known.clear()
+            found.append(b"".join(map(known.__getitem__, text.encode().split())))
+        return found
 
 
 _word_ids: dict[str, WordIds] = {}
