@@ -1,5 +1,9 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
+from threadmine.functions import stem
 from threadmine.functions.porter2 import stem_word
 from threadmine.functions.stem import stem_dictionary, stem_term, stem_words
 
@@ -50,3 +54,45 @@ def test_terms_and_dictionary(spark):
     }
     terms = spark.createDataFrame([("flies",), (None,)], "t STRING")
     assert [r[0] for r in terms.select(stem_term("t")).collect()] == ["fli", None]
+
+
+def test_remembered_words_take_little_memory():
+    """Before, a remembered word was two Python strings and an entry of a dictionary."""
+    words = [f"b{i}dances" for i in range(50_000)]
+    some = pa.array([words, ["cats"]], pa.list_(pa.string()))
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        made = stem._stem_array.func(iter([some.slice(0, 1), some]))
+        assert next(made).to_pylist() == [[stem_word(w) for w in words]]
+        taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - held
+    finally:
+        tracemalloc.stop()
+    assert taken < 80 * len(words)
+    assert next(made).to_pylist() == [[stem_word(w) for w in words], ["cat"]]
+
+
+def test_words_are_remembered_and_forgotten(monkeypatch):
+    monkeypatch.setattr(stem, "MEMO_WORDS", 3)
+    asked = []
+    monkeypatch.setattr(stem, "stem_word", lambda w: asked.append(w) or w[:-1])
+    memo = stem._Memo()
+    for words in (["as", "bs"], ["bs", "cs", "as"], ["ds"], ["as", "ds"]):
+        assert memo.stems_of(pa.array(words)).to_pylist() == [w[0] for w in words]
+    assert asked == ["as", "bs", "cs", "ds", "as", "ds"] and len(memo) == 2
+    assert memo.stems_of(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_long_words_are_forgotten_sooner(monkeypatch):
+    monkeypatch.setattr(stem, "MEMO_BYTES", 1000)
+    memo = stem._Memo()
+    for i in range(50):
+        words = [f"{i}{'x' * 300}ing", "cats"]
+        assert memo.stems_of(pa.array(words)).to_pylist() == [stem_word(w) for w in words]
+        assert memo.words.nbytes < 2000
+
+
+def test_large_arrow_strings():
+    lists = pa.array([["cats", None, "flies"], None, []], pa.list_(pa.large_string()))
+    made = list(stem._stem_array.func(iter([lists])))
+    assert pa.concat_arrays(made).to_pylist() == [["cat", None, "fli"], None, []]
